@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from .exact_dedup import SQL as EXACT_SQL
-from .exact_dedup import op3_exact_dedup
-from .mixing import SQL as MIXING_SQL
-from .mixing import op8_mixing
+from . import exact_dedup, html_text, licenses, mixing, quality
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op8_mixing": op8_mixing}
-ORACLES = {"op3_exact_dedup": EXACT_SQL, "op8_mixing": MIXING_SQL}
+QUERIES = {
+    "op2_html_text": html_text.op2_html_text,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_quality": quality.op4_quality,
+    "op6_licenses": licenses.op6_licenses,
+    "op8_mixing": mixing.op8_mixing,
+}
+ORACLES = {"op3_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
