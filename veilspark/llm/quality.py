@@ -4,7 +4,8 @@ with a softmax output, trained by stochastic gradient descent in numpy.
 Training reads at most SAMPLE labelled documents (those whose xxhash64 of doc_id comes first
 among the labelled rows that may be learned from); all documents are scored, over their whole
 text.  Features: each word, hashed to the first half of the buckets, and each run of 3 and of 4
-bytes inside a text, hashed to the second half.  Case and symbols stay, since shouting and symbol
+bytes inside a text, hashed to the second half; a word equal to the one before it (a word bigram
+of that kind) has a bucket of its own.  Case and symbols stay, since shouting and symbol
 junk show there.  A text's vector is the mean of its features' vectors; as the output has two
 classes, a bucket's vector counts only through its product with the difference of the two output
 rows, so scoring gathers one number for each feature and takes the mean.
@@ -28,6 +29,8 @@ SAMPLE = 2000
 BUCKETS = 1 << 14  # of words, and as many of n-grams
 DIM = 10
 GRAMS = (3, 4)
+#: Two halves, and one bucket for a word that repeats the word before it.
+TOTAL = 2 * BUCKETS + 1
 THRESHOLD = 0.3
 
 
@@ -54,6 +57,9 @@ def features(column):
     w = Words(column)
     for a, b in slices(w.first, 1 << 17):
         yield (w.hash[w.first[a] : w.first[b]] & np.uint64(BUCKETS - 1)).astype(np.int64), np.repeat(np.arange(a, b), np.diff(w.first[a : b + 1]))
+    row = np.repeat(np.arange(len(w.off) - 1), w.counts())
+    again = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (row[1:] == row[:-1])) + 1
+    yield np.full(len(again), TOTAL - 1, dtype=np.int64), row[again]
     for a, b in slices(w.off, 1 << 20):
         for n in GRAMS:
             bucket, row = gram_features(w.raw[w.off[a] : w.off[b]], w.off[a : b + 1] - w.off[a], n)
@@ -67,9 +73,9 @@ def _bags(batches):
         for a in range(0, n, step):
             part = batch.slice(a, step)
             m = part.num_rows
-            seen = np.zeros((m, 2 * BUCKETS), dtype=np.int32)
+            seen = np.zeros((m, TOTAL), dtype=np.int32)
             for bucket, row in features(part.column("text")):
-                seen += np.bincount(row * (2 * BUCKETS) + bucket, minlength=m * 2 * BUCKETS).reshape(m, -1).astype(np.int32)
+                seen += np.bincount(row * TOTAL + bucket, minlength=m * TOTAL).reshape(m, -1).astype(np.int32)
             idx = [np.flatnonzero(x) for x in seen]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), part.column("quality").cast(pa.int32()), pa.array([i.astype(np.int32) for i in idx], pa.list_(pa.int32())), pa.array([seen[k][i] for k, i in enumerate(idx)], pa.list_(pa.int32()))],
@@ -98,9 +104,9 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 8, rate:
     ones = sum(label for label, *_ in bags)
     if ones in (0, len(bags)):
         share = (ones + 1) / (len(bags) + 2)
-        return Model(np.zeros(2 * BUCKETS), np.log(share / (1 - share)))
+        return Model(np.zeros(TOTAL), np.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
-    table = rng.uniform(-1 / DIM, 1 / DIM, (2 * BUCKETS, DIM)).astype(np.float32)
+    table = rng.uniform(-1 / DIM, 1 / DIM, (TOTAL, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
