@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, licenses, mixing, quality
+from . import decontaminate, exact_dedup, html_text, licenses, mixing, quality, warc
 
 QUERIES = {
     "op2_html_text": html_text.op2_html_text,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality": quality.op4_quality,
     "op6_licenses": licenses.op6_licenses,
+    "op7_warc": warc.op7_warc,
     "op8_mixing": mixing.op8_mixing,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
