@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, licenses, mixing, quality, warc
+from . import decontaminate, exact_dedup, html_text, licenses, mixing, near_dedup, quality, warc
 
 QUERIES = {
     "op2_html_text": html_text.op2_html_text,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_licenses": licenses.op6_licenses,
     "op7_warc": warc.op7_warc,
     "op8_mixing": mixing.op8_mixing,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {"op3_exact_dedup": exact_dedup.SQL, "op8_mixing": mixing.SQL}
