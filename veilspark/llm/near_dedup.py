@@ -13,10 +13,10 @@ similarity.
 3. In each bucket every class pairs with the bucket's smallest one: as many pairs as members.
    Pairs whose sizes rule out the threshold, or whose joint likelihood estimate from the registers
    is too far below it, go; the rest is verified on the full sets.
-4. Links form components.  Buckets that now hold more than one component are looked into once
-   more: members pair with members of other components in order of estimated similarity, a slice
-   of that order at a time, until no untested pair within reach of the threshold joins two
-   components.  So no link that a bucket could show is lost, and copies never expand to all pairs.
+4. Links form components.  In buckets that now hold more than one component, members of
+   different components are compared on their full sets, in blocks of a bounded number of members;
+   of the links found there only those that join components are kept.  So no link that a bucket
+   could show is lost, and copies never expand to all pairs.
 
 Defined cases: null, empty or blank text has an empty set, which is linked with nothing, equal
 ones neither; a text with fewer words than a shingle has its whole sequence as its one shingle;
@@ -38,8 +38,7 @@ BANDS, ROWS = 28, 4
 REGISTERS = BANDS * ROWS
 BASE = 1.02
 RATE = 20.0
-BLOCK = 1024  # members of a bucket that meet in a task: twice this at most
-FIRST_SLICE = 8
+BLOCK = 512  # members of a bucket that meet in a task: twice this at most
 SIGMAS = 4.5
 
 _SEED = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(7919))
@@ -184,52 +183,50 @@ def _likely(batches, floor: float):
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
 
 
-def _across(table: pa.Table, percent: int, begin: int, end: int) -> pa.Table:
-    """Of a bucket's members in two blocks: untested pairs of different components, the begin-th to
-    end-th most similar ones of each member; more tells whether any are left behind these."""
+def _across(table: pa.Table, percent: int) -> pa.Table:
+    """Of a bucket's members in two blocks: links that join different components, found by counting
+    common shingles exactly.  Links whose ends are joined already are left out."""
     doc = table["doc"].to_numpy()
     order = np.argsort(doc, kind="stable")
-    doc, comp, n = doc[order], table["comp"].to_numpy()[order], table["n"].to_numpy()[order].astype(np.float64)
-    regs = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in table["regs"]])[order]
-    bi, side = table["bi"].to_numpy()[order], table["block"].to_numpy()[order]
-    bj = table["bj"].to_numpy()[order]
-    out_a, out_b, more = [], [], False
-    floor = _floor(percent)
+    table = table.take(pa.array(order))
+    doc, comp, n = doc[order], table["comp"].to_numpy(), table["n"].to_numpy()
+    bi, bj, side = (table[c].to_numpy() for c in ("bi", "bj", "block"))
+    sets = table["set"].combine_chunks()
+    off = np.asarray(sets.offsets, dtype=np.int64)
+    values = np.asarray(sets.values)[off[0] : off[-1]]
+    starts = off[:-1] - off[0]
+    ids = np.unique(values, return_inverse=True)[1]
+    stop = np.append(starts[1:], len(ids))
+    flag = np.zeros(int(ids.max(initial=-1)) + 2, dtype=np.int64)
+    root = {c: c for c in comp.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
     names, sizes = np.unique(comp, return_counts=True)
     largest = names[sizes.argmax()]
+    out = []
     for i in np.flatnonzero(comp != largest):
-        other = comp != comp[i]
+        other = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
         if bi[i] != bj[i]:
             other &= side != side[i]
-        # a pair of two small components is taken from its smaller document alone
+        # a pair outside the largest component is taken from its smaller document alone
         other &= (comp == largest) | (doc > doc[i])
-        other &= (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-        j = np.flatnonzero(other)
-        if not len(j):
+        if not other.any():
             continue
-        e = estimate(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j])
-        j, e = j[e >= floor], e[e >= floor]
-        j = j[np.lexsort((doc[j], -e))]
-        more |= len(j) > end
-        j = j[begin:end]
-        out_a.append(np.minimum(doc[i], doc[j]))
-        out_b.append(np.maximum(doc[i], doc[j]))
-    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-    if more:
-        a, b = np.append(a, -1), np.append(b, -1)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array([*[False] * (len(a) - more), *[True] * more], pa.bool_())})
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, b, na, nb), those whose full sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(lambda x: _sets(x, n), "doc_id long, set array<long>").dropDuplicates(["doc_id"])
-    sets = materialise(sets, "near-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    union = F.size("sa") + F.size("sb") - F.col("common")
-    return materialise(both.filter(F.col("common") * 100 >= union * percent).select("a", "b"), "near-links")
+        mine = ids[starts[i] : stop[i]]
+        flag[mine] = 1
+        common = np.add.reduceat(flag[ids], starts)
+        flag[mine] = 0
+        for j in np.flatnonzero(other & (100 * common >= percent * (n + n[i] - common))):
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -241,56 +238,41 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     member = some.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "rep").distinct()
     member = materialise(member, "near-classes")
     reps = some.join(member.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = materialise(reps.select("doc_id", "n_shingles", "bands", "regs"), "near-reps")
-    info = reps.select("doc_id", F.col("n_shingles").alias("n"), "regs")
+    reps = materialise(reps.select("doc_id", F.col("n_shingles").alias("n"), "bands", "regs"), "near-reps")
 
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = materialise(rows.join(shared, "key"), "near-buckets")
-    star = buckets.filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(info.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
-        p = p.join(info.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
-        p = p.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        return p.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda x: _likely(x, _floor(percent)), "a long, b long, na long, nb long")
+    # the full sets of all documents that share a bucket with another
+    wanted = buckets.select("doc_id").distinct()
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda x: _sets(x, n), "doc_id long, set array<long>").dropDuplicates(["doc_id"])
+    sets = materialise(sets, "near-sets")
 
-    tested = materialise(sized(star), "near-pairs")
-    links = _verified(docs, tested, n, percent)
+    info = reps.select("doc_id", "n", "regs")
+    pairs = buckets.filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = pairs.join(info.toDF("b", "nb", "rb"), "b").join(info.toDF("a", "na", "ra"), "a")
+    pairs = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    pairs = pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda x: _likely(x, _floor(percent)), "a long, b long, na long, nb long")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    links = materialise(both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"), "near-links")
     comp = materialise(components(links, "a", "b"), "near-components")
-    begin, end = 0, FIRST_SLICE
-
-    def across(begin, end):
-        def run(table):
-            return _across(table, percent, begin, end)
-
-        return run
-
-    while True:
-        named = buckets.join(comp, buckets.doc_id == comp.node, "left").select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-        open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-        members = named.join(open_keys, "key").join(info, "doc_id").select("key", "size", F.col("doc_id").alias("doc"), "comp", "n", "regs")
-        nb = F.ceil(F.col("size") / BLOCK).cast("int")
-        block = F.pmod(F.xxhash64("doc"), nb).cast("int")
-        members = members.withColumn("block", block).withColumn("j", F.explode(F.sequence(F.lit(0), nb - 1)))
-        members = members.withColumn("bi", F.least("block", "j")).withColumn("bj", F.greatest("block", "j"))
-        found = members.groupBy("key", "bi", "bj").applyInArrow(across(begin, end), "a long, b long, more boolean")
-        found = materialise(found.distinct(), "near-across")
-        left = found.filter("more").limit(1).count() > 0
-        fresh = found.filter("not more").select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        ns = info.select("doc_id", "n")
-        fresh = fresh.join(ns.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(ns.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-        fresh = materialise(fresh.select("a", "b", "na", "nb"), "near-pairs")
-        new = None
-        if not fresh.isEmpty():
-            new = _verified(docs, fresh, n, percent)
-            tested = tested.unionByName(fresh)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                comp = materialise(components(links, "a", "b"), "near-components")
-        if not left:
-            break
-        begin, end = end, end * 4
+
+    # buckets that still hold several components; of two members one is the pivot, and that pair is settled
+    named = buckets.filter("size > 2").join(comp, buckets.doc_id == comp.node, "left").select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    named = materialise(named, "near-named")
+    open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    nb = F.ceil(F.col("size") / BLOCK).cast("int")
+    members = named.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), nb).cast("int"))
+    members = members.withColumn("j", F.explode(F.sequence(F.lit(0), nb - 1)))
+    members = members.withColumn("bi", F.least("block", "j")).withColumn("bj", F.greatest("block", "j"))
+    members = members.join(sets, "doc_id").select("key", "bi", "bj", "block", F.col("doc_id").alias("doc"), "comp", F.size("set").cast("long").alias("n"), "set")
+
+    def across(table):
+        return _across(table, percent)
+
+    more = materialise(members.groupBy("key", "bi", "bj").applyInArrow(across, "a long, b long").distinct(), "near-across")
+    if not more.isEmpty():
+        comp = materialise(components(links.unionByName(more), "a", "b"), "near-components")
     out = sketch.select("doc_id", "n_shingles").join(member, "doc_id", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     whole = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.col("doc_id").eqNullSafe(whole).alias("kept"))
