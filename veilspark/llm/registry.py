@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_text, licenses, mixing, near_dedup, quality, substring_dedup, warc
+from . import decontaminate, exact_dedup, html_text, interpolation, licenses, mixing, near_dedup, quality, substring_dedup, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_html_text": html_text.op2_html_text,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality": quality.op4_quality,
+    "op5_lm_score": interpolation.op5_lm_score,
     "op6_licenses": licenses.op6_licenses,
     "op7_warc": warc.op7_warc,
     "op8_mixing": mixing.op8_mixing,
