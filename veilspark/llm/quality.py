@@ -167,3 +167,14 @@ def score_documents(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return score_documents(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least THRESHOLD."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.score(batch.column("text")) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
