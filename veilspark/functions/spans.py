@@ -49,19 +49,14 @@ def pattern_spans(text: Column, registry: list[tuple[str, str]]) -> list[Column]
 def _is_fixed_name(name: Column) -> Column:
     words = F.split(name, r"\s+")
     low = F.lower(name)
-    clear = F.lit(True)
-    for phrase in P.FIXED_PHRASES:
-        clear = clear & ~F.contains(low, F.lit(phrase.lower()))
+    clear = ~low.rlike("|".join(p.lower() for p in P.FIXED_PHRASES))
     first, last = F.element_at(words, 1), F.element_at(words, -1)
     shape = F.size(words).between(2, 3) & F.forall(words, lambda w: F.replace(F.replace(w, F.lit("."), F.lit("")), F.lit("'"), F.lit("")).rlike("^[A-Za-z]+$") & w.rlike("^[A-Z]"))
     return clear & shape & F.length(first).between(2, 15) & F.length(last).between(2, 20) & ~first.isin(P.FIXED_STARTS)
 
 
 def _is_legacy_name(name: Column) -> Column:
-    clear = F.lit(True)
-    for word in P.LEGACY_SKIP:
-        clear = clear & ~F.contains(name, F.lit(word))
-    return clear
+    return ~name.rlike("|".join(P.LEGACY_SKIP))
 
 
 def name_spans(text: Column, rules: str = "fixed") -> Column:

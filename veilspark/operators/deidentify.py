@@ -45,8 +45,13 @@ def annotate(df: DataFrame, rules: str = "fixed", text: str = "text", out: str =
 
 
 def explode_spans(df: DataFrame, *keys: str, spans: str = "entities") -> DataFrame:
-    """A row for each span: keys, rank (from 1), type, span_start, span_end, span_text."""
-    return df.select(*keys, F.posexplode(spans).alias("p", "e")).select(
+    """A row for each span: keys, rank (from 1), type, span_start, span_end, span_text.
+
+    The outer form with a filter behind it: of the inner one the optimizer derives a filter on the
+    array's size and pushes it to the source, and the whole span search would run twice.
+    """
+    rows = df.select(*keys, F.posexplode_outer(spans).alias("p", "e")).filter(F.col("e").isNotNull())
+    return rows.select(
         *keys, (F.col("p") + 1).cast("long").alias("rank"), F.col("e.type").alias("type"), F.col("e.start").cast("long").alias("span_start"), F.col("e.end").cast("long").alias("span_end"), F.col("e.text").alias("span_text")
     )
 
