@@ -99,8 +99,10 @@ def pack_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
 
 def by_range(keys: np.ndarray, buckets: int):
     """(bucket, begin, end) over sorted keys."""
+    if not len(keys):
+        return
     n = np.minimum(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.uint64(buckets - 1)).astype(np.int64)
-    edge = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1]))) if len(n) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1])))
     for a, b in zip(edge, np.append(edge[1:], len(n)), strict=True):
         yield int(n[a]), int(a), int(b)
 

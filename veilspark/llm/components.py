@@ -25,7 +25,8 @@ def _small(e: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """node, component for every node that has a link; component is the smallest node reachable."""
+    """node, component for every linked node but the smallest of its component; component is the
+    smallest node reachable."""
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     e = materialise(e, "links")
     state = None
