@@ -1 +1 @@
-"""The per-document operators over file streams."""
+"""Structured Streaming forms of the per-document operators."""
