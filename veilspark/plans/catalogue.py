@@ -19,15 +19,22 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Dealt out by key to a stated number of partitions: adaptive execution would coalesce them by
+    bytes, but span work is long for few bytes and wants every core."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> str:
-    spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").repartition("o_orderkey").createOrReplaceTempView("veilspark_orders")
+    _spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey").createOrReplaceTempView("veilspark_orders")
     return "veilspark_orders"
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes, dealt out by id: span work gets even partitions, and the optimizer cannot copy the
     generator's expressions into every reference to a text."""
-    return spark.sql(G.notes_sql(SPARK, _orders(spark, sf_dir))).repartition("id")
+    return _spread(spark.sql(G.notes_sql(SPARK, _orders(spark, sf_dir))), "id")
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
