@@ -108,3 +108,31 @@ def test_decontamination_against_brute_force(spark):
         assert {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, bench, block).collect()} == want
     assert decontaminate.find_contamination(docs, bench.limit(0)).count() == 0
     assert decontaminate.find_contamination(docs.limit(0), bench).count() == 0
+
+
+ORDINARY = ['<a href="/hidden-gems">x y</a>', '<p title="the hidden cost">x y</p>', '<p aria-hidden="false">x y</p>', '<section id="discussion">x y</section>', '<p id="related-work">x y</p>', '<p class="post-header">x y</p>', '<p class="legal-text">x y</p>', '<p data-role="menu">x y</p>']
+DROPPED = ["<p hidden>x y</p>", '<p aria-hidden="true">x y</p>', '<p style="display: none">x y</p>', '<div class="ad">x y</div>', '<div class="share-buttons">x y</div>', '<div class="big related-posts">x y</div>', '<div id="ad-slot-3">x y</div>']
+
+
+@pytest.mark.parametrize(("part", "kept"), [(p, True) for p in ORDINARY] + [(p, False) for p in DROPPED])
+def test_names_inside_articles(part, kept):
+    got = html_text.extract(f"<body><article><h1>T</h1><p>before</p>{part}<p>after</p></article></body>")
+    assert got.split() == ["T", "before", *(["x", "y"] if kept else []), "after"]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<ul><li class="ad">x</ul><p>rest</p>', "rest"),
+        ('<ul><li class="ad">x<li>y</ul><p>rest</p>', "y\nrest"),
+        ('<ul><li class="ad">x<ul><li>z</ul><li>y</ul><p>rest</p>', "y\nrest"),
+        ('<p class="ad">x <b>z<p>rest</p>', "rest"),
+        ('<div><div class="ad">x <b>z</div> w</div><p>rest</p>', "w\nrest"),
+        ('<p><b><span class="ad">x</b> rest</p>', "rest"),
+        ('<table><tr><td class="ad">x<td>y<tr><td>z</table>', "y\nz"),
+        ("<html><head><title>T</title><body><p>rest</p></body></html>", "rest"),
+        ("<head><meta charset=x><script>a()</script>rest", "rest"),
+    ],
+)
+def test_dropped_elements_end(page, text):
+    assert html_text.extract(page) == text

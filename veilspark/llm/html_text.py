@@ -2,7 +2,9 @@
 
 A tolerant tokenizer builds the element tree; scripts, styles and other non-text go at once, and
 so do elements that name themselves as furniture (nav, header, footer, aside, form, ... or such
-words in class, id or role).  For every element, C is its number of characters, T of tags, LC and
+words in class, id or role; inside an <article> or <main> only names that nothing but furniture
+bears), and hidden ones (hidden, aria-hidden="true", display: none).  A dropped element without end
+tag ends where HTML implies it, or with what holds it.  For every element, C is its number of characters, T of tags, LC and
 LT those in links; its composite density is
 
     C / T * log_b(C / LC * T / LT),   b = ln(C / (C - LC) * LC + LCb / Cb * C + e),
@@ -36,13 +38,16 @@ from .common import read
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<([/]?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*(?:>|\Z)", re.S)
 _LAST_TAG = re.compile(r"</?[a-zA-Z][^<>]*\Z")
-_ATTR = re.compile(r"(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One whole attribute, so that names are never found inside other names or values.
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math select option object audio video canvas head button".split())
 #: Of these, what is inside is text up to the end tag, not markup.
 PLAIN = frozenset("script style textarea title iframe noembed noframes xmp".split())
 FURNITURE = frozenset("nav header footer aside form dialog menu fieldset search".split())
+#: What a head may hold; anything else ends it.
+HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -56,28 +61,70 @@ _NAMES = re.compile(
     re.I,
 )
 
+#: Inside an article, a word of class, id or role counts only if each of its parts is one of these,
+#: and one of them is of the first kind, or of the second beside one of the third.
+_INNER = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos sidebar nav navbar navigation breadcrumb breadcrumbs comments disqus cookies cookie consent gdpr "
+    "popup modal newsletter subscribe signup login share sharing pagination pager paywall toolbar widget outbrain taboola toc contentinfo complementary".split()
+)
+_INNER_WEAK = frozenset("social related recommended reply replies respond comment banner search form menu skip teaser alert toast dialog".split())
+_INNER_PARTS = frozenset("box bar block links link buttons button list posts post articles article stories items area container wrapper wrap widget slot unit section panel overlay form icons media module tools top bottom inline".split())
+
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "sum", "in_link")
+    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "sum", "in_link", "in_article")
 
     def __init__(self, tag, parent):
         self.tag, self.parent, self.kids = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
+        self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
 
 
-def _furniture(tag: str, attrs: str) -> bool:
+def _inner(value: str) -> bool:
+    """Whether class, id or role names furniture so clearly that it counts inside an article too."""
+    for word in value.lower().split():
+        parts = [x for x in re.split(r"[_-]+|\d+", word) if x]
+        strong, weak, rest = (any(x in kind for x in parts) for kind in (_INNER, _INNER_WEAK, _INNER_PARTS))
+        if (strong or weak and rest) and all(x in _INNER or x in _INNER_WEAK or x in _INNER_PARTS for x in parts):
+            return True
+    return False
+
+
+def _furniture(tag: str, attrs: str, within: bool = False) -> bool:
+    """Whether the element is dropped; within: it stands in an <article> or <main>."""
     if tag in FURNITURE:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name != "style" and _NAMES.search(value):
+        if name in ("class", "id", "role") and (_inner(value) if within else _NAMES.search(value)):
             return True
+        if name == "aria-label" and not within and _NAMES.search(value):
+            return True
+    return False
+
+
+def _end_skip(skip: list[str], tag: str) -> bool:
+    """Whether a start tag ends the outermost dropped element, whose end tag may be left out; inner ones are closed."""
+    if skip[0] == "head" and len(skip) == 1 and tag not in HEAD:
+        skip.clear()
+        return True
+    for x in range(len(skip) - 1, -1, -1):
+        up = skip[x]
+        if up in _SELF.get(tag, ()) or up == "p" and tag in ENDS_P:
+            del skip[x:]
+            return not skip
+        if up in _STOPS.get(tag, ()) or up in BLOCKS or up in RAW:
+            # what stands between li and li may be blocks, except those that hold lists or text of their own
+            if tag not in _SELF or up in _STOPS[tag] or up in RAW or up in ("article", "div", "section"):
+                return False
     return False
 
 
@@ -88,6 +135,8 @@ def parse(page: str) -> tuple[Node, list]:
     skip: list[str] = []  # open elements since one whose content is dropped
 
     def text(chunk: str):
+        if skip == ["head"] and chunk.strip():
+            skip.clear()
         if chunk and not skip:
             chunk = _html.unescape(chunk)
             node.kids.append(chunk)
@@ -110,24 +159,25 @@ def parse(page: str) -> tuple[Node, list]:
                 if tag in skip:
                     while skip and skip.pop() != tag:
                         pass
-                elif tag in ("body", "html", "article", "main") and tag not in skip:
-                    up = node
+                else:
+                    up, blocks = node, tag in BLOCKS or tag == "html"
+                    if not blocks and any(x in BLOCKS for x in skip):
+                        up = None  # an inline end tag does not close blocks
                     while up is not None and up.tag != tag:
-                        up = up.parent
+                        up = up.parent if blocks or up.tag not in BLOCKS else None
                     if up is not None:  # an unclosed dropped element ends with what holds it
                         skip.clear()
                         node = up.parent or up
-                        stream.append((node, None))
-            elif tag not in VOID and not attrs.endswith("/"):
+                        stream.append((node, None if blocks else ""))
+                continue
+            if _end_skip(skip, tag):
+                pos = m.start()
+                continue
+            if tag not in VOID and not attrs.endswith("/"):
                 if tag in PLAIN:
                     end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
                     pos = end.end() if end else n
                 else:
-                    if tag in BLOCKS and skip[-1] == "p" and tag in ENDS_P:
-                        skip.pop()
-                        if not skip:
-                            pos = m.start()
-                            continue
                     skip.append(tag)
             continue
         if closing:
@@ -173,7 +223,7 @@ def parse(page: str) -> tuple[Node, list]:
             stream.append((node, None))
         if tag in VOID:
             node.kids.append(Node(tag, node))
-        elif tag in RAW or _furniture(tag, attrs):
+        elif tag in RAW or _furniture(tag, attrs, node.in_article):
             if not attrs.endswith("/"):
                 skip.append(tag)
             stream.append((node, None if tag in BLOCKS else ""))
