@@ -136,3 +136,38 @@ def test_names_inside_articles(part, kept):
 )
 def test_dropped_elements_end(page, text):
     assert html_text.extract(page) == text
+
+
+def held(item, text):
+    """By brute force: the item, or two thirds of it in one piece, within the edits of that length."""
+    m, rate = len(item), decontaminate.RATE
+    e = -(-2 * m // 3)
+    if edits_within(item, text, int(m * rate)):
+        return True
+    return e >= decontaminate.EXCERPT_LEAST and any(edits_within(item[i : i + e], text, int(e * rate)) for i in range(m - e + 1))
+
+
+def test_excerpts_and_short_items_against_brute_force():
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    prose = lambda n: decontaminate.fold(" ".join(rng.choice(words) for _ in range(n)))
+    items = [prose(n) for n in (16, 22, 14, 18)] + [prose(4)[:n].strip().ljust(n, "x") for n in (12, 13, 14, 15, 16)]
+    texts = ["", prose(30)]
+    for x in items:
+        for share in (1, 0.75, 0.68, 0.6, 0.5):
+            size = int(len(x) * share)
+            for changes in (0, 1, 2, 5, 9):
+                at = rng.randint(0, len(x) - size)
+                cut = list(x[at : at + size])
+                for _ in range(changes):
+                    p = rng.randrange(len(cut))
+                    cut[p : p + 1] = rng.choice([[], ["q"], [cut[p], "q"]])
+                texts.append(decontaminate.fold(f"{prose(3)} {''.join(cut)} {prose(3)}"))
+    index = decontaminate.Index(list(enumerate(items)))
+    got = {(r, j) for r, j, _, _ in decontaminate.find_items(texts, index)}
+    want = {(r, j) for r, t in enumerate(texts) for j, x in enumerate(items) if t and held(x, t)}
+    assert got == want
+    whole = {(r, j) for r, t in enumerate(texts) for j, x in enumerate(items) if t and edits_within(x, t, int(len(x) * decontaminate.RATE))}
+    assert len(want - whole) > 10 and any(13 <= len(items[j]) <= 15 and items[j] not in texts[r] for r, j in want)

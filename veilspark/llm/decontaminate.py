@@ -6,14 +6,20 @@ least t = m + 1 - q * (k + 1) of its q-grams, all within k + 1 neighbouring diag
 text the q-grams that it has in common with any item are counted in diagonal bands of twice that
 width that overlap by half, so each such place lies whole in some band; bands that reach t are
 kept, neighbours are joined, and a banded alignment decides whether the item is there within k
-edits.  Items too short for the lemma (t < 1) are looked for as they stand.
+edits.  Items too short for the lemma (t < 1) are looked for as they stand or, if k > 0, aligned
+with each text that has one of their k + 1 pieces.
+
+An excerpt counts as well: any part of e = ceil(2/3 m) neighbouring characters of the item, where e
+is at least EXCERPT_LEAST, that occurs with at most floor(RATE * e) edits.  The lemma holds for
+these parts too, so the bands are tested with their lower threshold, and where the item as a whole
+is not found, all its parts of e characters are aligned at once.  Half an item is no finding.
 
 The items' q-grams go to the executors in blocks of at most BLOCK_CHARS characters, whatever the
 size of the benchmark: more items mean more passes over the texts, not larger broadcasts.
 
 Defined cases: null or empty text holds nothing; null or empty items are no items; equal items are
-each reported; an item found twice in a text is reported once, at its best place (fewest edits,
-then first); repeated rows are each reported; empty tables give an empty result; other columns are
+each reported; an item found twice in a text is reported once, at its best place (as a whole before
+an excerpt, fewest edits, then first; the edits of an excerpt are those within it); repeated rows are each reported; empty tables give an empty result; other columns are
 never read.
 """
 
@@ -28,6 +34,7 @@ from .common import read
 
 Q = 8
 RATE = 0.08
+EXCERPT_LEAST = 50
 BLOCK_CHARS = 4 << 20
 CHUNK = 1 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -65,6 +72,12 @@ class Index:
         self.k = np.floor(self.m * rate).astype(np.int64)
         self.t = self.m + 1 - q * (self.k + 1)
         self.short = [j for j in range(len(self.items)) if self.t[j] < 1]
+        self.part = -(-2 * self.m // 3)
+        self.part[self.part < EXCERPT_LEAST] = 0
+        self.part_k = np.floor(self.part * rate).astype(np.int64)
+        part_t = self.part + 1 - q * (self.part_k + 1)
+        self.part[part_t < 1] = 0
+        self.least = np.where(self.part > 0, np.minimum(self.t, part_t), self.t)
         grams, item, place = [], [], []
         for j, (_, t) in enumerate(self.items):
             if self.t[j] >= 1:
@@ -81,7 +94,7 @@ class Index:
         self.bitmap[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
     def regions(self, c: np.ndarray, row: np.ndarray):
-        """(row, item, first and last place) of the bands that reach their item's threshold."""
+        """(item, first and last diagonal, whether it can hold the whole item) of the bands that reach a threshold of their item."""
         if not len(self.hash):
             return []
         h = gram_hashes(c, self.q)
@@ -109,12 +122,12 @@ class Index:
         next_to = (have[1:] == have[:-1] + 1)
         both[:-1][next_to] = count[1:][next_to]
         low = have // size
-        hit = np.flatnonzero(count + both >= self.t[low])
+        hit = np.flatnonzero(count + both >= self.least[low])
         out = []
         for x in hit:
             j, b = int(low[x]), int(have[x] % size)
             begin = b * int(self.k[j] + 1) - int(self.m.max(initial=0))
-            out.append((j, begin, begin + 2 * int(self.k[j] + 1) - 1))
+            out.append((j, begin, begin + 2 * int(self.k[j] + 1) - 1, bool(count[x] + both[x] >= self.t[j])))
         # one band before a lone one also holds it; its own test above covers the same grams
         return out
 
@@ -139,15 +152,44 @@ def banded_distance(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, in
     return int(row[end]), end
 
 
+def excerpt_distance(item: np.ndarray, text: np.ndarray, size: int, k: int) -> tuple[int, int]:
+    """Least edits (at most k, else k + 1) that turn some size characters of item into some part of text,
+    and that part's end; the first end among equals."""
+    n = len(text)
+    ramp = np.arange(n + 1, dtype=np.int32)
+    at = np.arange(len(item) - size + 1)
+    row = np.zeros((len(at), n + 1), dtype=np.int32)
+    for i in range(size):
+        step = np.empty_like(row)
+        step[:, 0] = row[:, 0] + 1
+        np.minimum(row[:, :-1] + (text[None, :] != item[at + i][:, None]), row[:, 1:] + 1, out=step[:, 1:])
+        row = np.minimum.accumulate(step - ramp, axis=1) + ramp
+        alive = row.min(axis=1) <= k
+        if not alive.all():
+            row, at = row[alive], at[alive]
+            if not len(at):
+                return k + 1, 0
+    least = row.min(axis=0)
+    end = int(least.argmin())
+    return int(least[end]), end
+
+
 def find_items(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int]]:
     """(row, item number, edits, end) for each item that a text holds; ends count folded characters."""
-    out: dict[tuple[int, int], tuple[int, int]] = {}
+    out: dict[tuple[int, int], tuple[int, int, int]] = {}
     folded = [fold(t) for t in texts]
     for j in index.short:
+        item, k = index.items[j][1], int(index.k[j])
+        cuts = [len(item) * x // (k + 1) for x in range(k + 2)]
+        pieces = [item[x:y] for x, y in zip(cuts, cuts[1:])]
         for r, t in enumerate(folded):
-            at = t.find(index.items[j][1]) if t else -1
+            at = t.find(item) if t else -1
             if at >= 0:
-                out[r, j] = (0, at + len(index.items[j][1]))
+                out[r, j] = (0, 0, at + len(item))
+            elif k and t and any(x in t for x in pieces):  # k edits leave one of k + 1 pieces whole
+                d, end = banded_distance(codes(item), codes(t), k)
+                if d <= k:
+                    out[r, j] = (0, d, end)
     item_codes: dict[int, np.ndarray] = {}
     a = 0
     while a < len(folded):
@@ -157,7 +199,8 @@ def find_items(texts: list[str | None], index: Index) -> list[tuple[int, int, in
             b += 1
         c = codes("\x00".join(folded[a:b]) + "\x00")
         ends = np.cumsum([len(x) + 1 for x in folded[a:b]])
-        for j, low, high in sorted(set(index.regions(c, ends))):
+        parts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for j, low, high, can in sorted(set(index.regions(c, ends))):
             k, m = int(index.k[j]), int(index.m[j])
             if j not in item_codes:
                 item_codes[j] = codes(index.items[j][1])
@@ -166,15 +209,33 @@ def find_items(texts: list[str | None], index: Index) -> list[tuple[int, int, in
             for r in range(int(np.searchsorted(ends, begin, side="right")), min(int(np.searchsorted(ends, max(stop - 1, 0), side="right")), b - a - 1) + 1):
                 left = int(ends[r - 1]) if r else 0
                 s, e = max(begin, left), min(stop, int(ends[r]) - 1)
-                if e - s < m - k:
+                if can and e - s >= m - k:
+                    d, end = banded_distance(item_codes[j], c[s:e], k)
+                    if d <= k:
+                        best = (0, d, s - left + end)
+                        if (a + r, j) not in out or best < out[a + r, j]:
+                            out[a + r, j] = best
+                if index.part[j]:
+                    spans = parts.setdefault((r, j), [])
+                    if spans and s <= spans[-1][1]:
+                        spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
+                    else:
+                        spans.append((s, e))
+        # excerpts, where the item as a whole is not in the text
+        for (r, j), spans in parts.items():
+            if (a + r, j) in out:
+                continue
+            left, part, k = int(ends[r - 1]) if r else 0, int(index.part[j]), int(index.part_k[j])
+            for s, e in spans:
+                if e - s < part - k:
                     continue
-                d, end = banded_distance(item_codes[j], c[s:e], k)
+                d, end = excerpt_distance(item_codes[j], c[s:e], part, k)
                 if d <= k:
-                    best = (d, s - left + end)
+                    best = (1, d, s - left + end)
                     if (a + r, j) not in out or best < out[a + r, j]:
                         out[a + r, j] = best
         a = b
-    return [(r, j, d, e) for (r, j), (d, e) in sorted(out.items())]
+    return [(r, j, d, e) for (r, j), (_, d, e) in sorted(out.items())]
 
 
 def blocks(bench: DataFrame, block_chars: int = BLOCK_CHARS):
