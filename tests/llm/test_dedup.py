@@ -118,3 +118,12 @@ def test_near_chain_and_hot_group(spark):
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (200, 200)], "a long, b long")
     assert bag(components.components(links, "a", "b"), "node", "component") == Counter([(i, 0) for i in range(1, 31)] + [(101, 100)])
+
+
+def test_near_pair_with_low_estimate(spark, monkeypatch):
+    """A pair that meets in buckets of two is compared exactly, however low its estimate is."""
+    monkeypatch.setattr(near_dedup, "_floor", lambda percent: 2.0)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, "some other text of its own here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(near_dedup.near_duplicates(df, 4, 80), *NEAR) == brute_near(rows, 4, 80)

@@ -9,10 +9,12 @@ similarity.
 1. Documents with equal sets (a 128-bit digest of the set) are one class; its smallest doc_id
    stands for it from here on.
 2. The registers are cut in BANDS bands of ROWS; classes that agree in a band share a bucket.
-   At a similarity of 0.8 all bands differ with probability (1 - 0.8^ROWS)^BANDS, 2e-7 here.
+   At a similarity of 0.8 all bands differ with probability (1 - 0.8^ROWS)^BANDS, 4e-7 here.
 3. In each bucket every class pairs with the bucket's smallest one: as many pairs as members.
-   Pairs whose sizes rule out the threshold, or whose joint likelihood estimate from the registers
-   is too far below it, go; the rest is verified on the full sets.
+   Pairs whose sizes rule out the threshold go.  In larger buckets so do those whose joint
+   likelihood estimate from the registers is too far below it, since step 4 compares them again;
+   a bucket of two is settled here, so its pair is never left to the estimate.  The rest is
+   verified on the full sets.
 4. Links form components.  In buckets that now hold more than one component, members of
    different components are compared on their full sets, in blocks of a bounded number of members;
    of the links found there only those that join components are kept.  So no link that a bucket
@@ -172,14 +174,15 @@ def _sets(batches, n: int):
 
 
 def _likely(batches, floor: float):
-    """Pairs whose joint estimate does not rule them out."""
+    """Pairs whose joint estimate does not rule them out, and those that are settled here."""
     for batch in batches:
         if not batch.num_rows:
             continue
         ka = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in batch.column("ra")])
         kb = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in batch.column("rb")])
         na, nb = (batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
-        keep = np.flatnonzero(estimate(ka, kb, na, nb) >= floor)
+        final = batch.column("final").to_numpy(zero_copy_only=False).astype(bool)
+        keep = np.flatnonzero(final | (estimate(ka, kb, na, nb) >= floor))
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep)) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
 
 
@@ -249,10 +252,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sets = materialise(sets, "near-sets")
 
     info = reps.select("doc_id", "n", "regs")
-    pairs = buckets.filter("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = buckets.filter("doc_id != pivot").groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).agg((F.min("size") == 2).alias("final"))
     pairs = pairs.join(info.toDF("b", "nb", "rb"), "b").join(info.toDF("a", "na", "ra"), "a")
     pairs = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    pairs = pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda x: _likely(x, _floor(percent)), "a long, b long, na long, nb long")
+    pairs = pairs.select("a", "b", "na", "nb", "ra", "rb", "final").mapInArrow(lambda x: _likely(x, _floor(percent)), "a long, b long, na long, nb long")
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     links = materialise(both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"), "near-links")
     comp = materialise(components(links, "a", "b"), "near-components")
