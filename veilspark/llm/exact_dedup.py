@@ -3,8 +3,14 @@
 Memtable: each task folds the rows it reads into one entry for each digest (Spark's map-side
 aggregation).  Flush: the entries go to the shared folder as a run sorted by digest, with a
 parquet Bloom filter on the digest as the run's filter.  Compaction: runs are merged by digest;
-of entries with one digest the best identifier stays, and the sizes add up.  Lookup: each row
-finds its entry; a hit in a group of more than one is compared byte for byte with the keeper's
+of entries with one digest the best identifier stays, and the sizes add up.
+
+On the query path one group-by stands in for the merging: a table is flushed as a single run that
+has one entry for each digest already, so compact() returns it unchanged; it merges only runs that
+a caller has flushed apart.  The lookup is a plain join and reads no Bloom filter: every row's
+digest is in the index, so a filter would turn none away.
+
+Lookup: each row finds its entry; a hit in a group of more than one is compared byte for byte with the keeper's
 text before it counts.  Rows that fail this comparison (a digest collision) are grouped again
 by their whole text, so the result is exact in any case.
 
@@ -43,9 +49,10 @@ def entries(docs: DataFrame) -> DataFrame:
 
 
 def flush(docs: DataFrame) -> DataFrame:
-    """The runs: one entry for each digest and task, sorted by digest, written with a filter.
+    """A run: one entry for each digest, its files sorted by digest and written with a filter.
 
-    Entries of a digest that a task sees again merge in its memtable; only folded entries move.
+    Entries of a digest that a task sees again merge in its memtable; only folded entries move, by
+    one group-by over the whole table.
     """
     spark = docs.sparkSession
     folded = (
