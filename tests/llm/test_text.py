@@ -171,3 +171,19 @@ def test_excerpts_and_short_items_against_brute_force():
     assert got == want
     whole = {(r, j) for r, t in enumerate(texts) for j, x in enumerate(items) if t and edits_within(x, t, int(len(x) * decontaminate.RATE))}
     assert len(want - whole) > 10 and any(13 <= len(items[j]) <= 15 and items[j] not in texts[r] for r, j in want)
+
+
+MAIN = [f"Paragraph {i} of the main text tells a good deal about the matter, and it does so at some length." for i in range(6)]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # paragraphs beside a small article are not lost to it
+        ("<body>" + "".join(f"<p>{x}</p>" for x in MAIN) + "<article><p>Read on.</p></article></body>", "\n".join([*MAIN, "Read on."])),
+        ("<body><p>Beside.</p><article>" + "".join(f"<p>{x}</p>" for x in MAIN) + "</article></body>", "\n".join(MAIN)),
+        ("<body><div><p>Beside.</p><main>" + "".join(f"<p>{x}</p>" for x in MAIN) + "</main></div></body>", "\n".join(MAIN)),
+    ],
+)
+def test_article_needs_most_of_the_text(page, text):
+    assert html_text.extract(page) == text

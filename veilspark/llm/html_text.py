@@ -13,8 +13,9 @@ with body's LCb and Cb, and zeros taken as one.  An element's density sum is tha
 The element of the largest sum holds the main text; the smallest density on its path up to body
 is the threshold, and other subtrees outside it that reach this threshold by their own largest
 sum are kept too, unless links make up most of them.  Since the wanted text is the article with
-its title, a selection inside an <article> (or <main>, where there is no article) widens to it,
-and then nothing outside it is kept.
+its title, a selection inside an <article> (or <main>, where there is no article) widens to it and
+the articles beside it, and one that holds articles (or <main>s) with most of its text narrows to
+them; then nothing outside them is kept.  Where they hold half of it or less, the densities decide.
 
 Blocks are the runs of text between block-level tags; white space inside becomes one space;
 blocks stand in page order, joined by one newline.  Nothing else is dropped or capped.
@@ -296,14 +297,17 @@ def select(order: list[Node]) -> list[Node]:
             if up.tag == kind:
                 found = up
             up = up.parent
-        if found is None and best in (body, order[0]):
-            inside = [x for x in order if x.tag == kind and x.chars]
-            found = max(inside, key=lambda x: x.chars, default=None)
-            if found is not None:
-                return [x for x in inside if not any(_inside(x.parent, {id(y)}) for y in inside)]
         if found is not None:
-            same = [x for x in order if x.tag == kind and x.chars and x.parent is found.parent]
-            return same
+            return [x for x in order if x.tag == kind and x.chars and x.parent is found.parent]
+        inside, todo = [], [best]
+        while todo:
+            node = todo.pop()
+            if node.tag == kind and node.chars:
+                inside.append(node)
+            else:
+                todo.extend(k for k in node.kids if isinstance(k, Node))
+        if 2 * sum(x.chars for x in inside) > best.chars:
+            return inside
     if best in (body, order[0]):
         return [best]
     path, up = [best.density], best.parent
