@@ -187,3 +187,33 @@ MAIN = [f"Paragraph {i} of the main text tells a good deal about the matter, and
 )
 def test_article_needs_most_of_the_text(page, text):
     assert html_text.extract(page) == text
+
+
+def test_salvage_inside_members():
+    import os
+    import zlib
+
+    parts = [warc.record(i, f"http://x/{i}", os.urandom(400).hex().encode()) for i in range(8)]
+    ids = lambda records: [int(r["head"]["x-page-id"]) for r in records]
+    inner = bytearray(b"".join(parts))
+    begin = sum(map(len, parts[:3]))
+    inner[begin + len(parts[3]) // 2] ^= 0xFF
+    # one record of an intact member fails; a second member follows
+    first, last = warc.member(bytes(inner)), warc.member(warc.record(99, "http://y/", b"z" * 50))
+    records, gaps = warc.salvage(first + last)
+    assert ids(records) == [0, 1, 2, 4, 5, 6, 7, 99]
+    assert [(a, b) for a, b, _ in gaps] == [(0, len(first))] and f"{begin} to {begin + len(parts[3])}" in gaps[0][2]
+    # a member damaged part-way keeps its readable beginning
+    whole = warc.member(b"".join(parts))
+    for broken in (whole[: len(whole) // 2], whole[: len(whole) // 2] + bytes(64) + whole[len(whole) // 2 + 64 :]):
+        records, gaps = warc.salvage(broken + last)
+        got = ids(records)
+        assert got[0] == 0 and got[-1] == 99 and 2 <= len(got) - 1 < 8 and len(gaps) == 1 and gaps[0][:2] == (0, len(broken))
+    # wrong checksum: the records' own digests vouch for them, and a record without one is not taken
+    bare = parts[1].replace(b"WARC-Block-Digest", b"X-Block-Digest")
+    assert bare != parts[1]
+    packed = bytearray(warc.member(parts[0] + bare))
+    packed[-8] ^= 0xFF
+    records, gaps = warc.salvage(bytes(packed))
+    assert ids(records) == [0] and len(gaps) == 1
+    assert zlib.decompress(whole, 31) == b"".join(parts)

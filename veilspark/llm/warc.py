@@ -5,10 +5,14 @@ writes its records, each a gzip member of its own, into archives of about ARCHIV
 shared folder.  An archive gets its final name only when complete, and a task that runs again
 writes the same names, so lost executors leave nothing half done.
 
-Reader: archives are cut into members; a member must inflate with its checksum, begin with a
-version line, hold as many bytes as its header says and agree with its block digest.  After a
+Reader: archives are cut into members of one or more records; a member must inflate with its
+checksum, and a record begin with a version line, hold as many bytes as its header says and agree
+with its block digest.  After a
 failed check the reader searches for the next member (or version line, in plain archives) that
 passes, recovers the records from there on, and reports the bytes in between as a quarantined gap.
+Inside a member it goes on at the next version line of the inflated bytes; such a gap has the
+member's bytes, and its reason names the inflated ones.  Of a member that does not inflate to its
+end, or has another checksum, the records before the damage that agree with a block digest stay.
 
 Defined cases: null html is an empty payload, and empty payloads are equal like others; among
 rows with equal payloads those with the smallest page_id (null last) are responses, so exact
@@ -107,19 +111,58 @@ def parse_record(data: bytes, pos: int = 0) -> tuple[dict, int]:
     return {"head": head, "payload": payload}, stop + 4
 
 
-def _inflate(view: memoryview, pos: int) -> tuple[bytes, int]:
-    """The gzip member at pos and the place behind it."""
+def _inflate(view: memoryview, pos: int) -> tuple[bytes, int, str]:
+    """The gzip member at pos, the place behind it, and what is wrong with it ('' if nothing); of a damaged one, what can be read."""
     z, out, at = zlib.decompressobj(31), [], pos
     while not z.eof:
         chunk = view[at : at + 65536]
         if not chunk:
-            raise ValueError("member cut short")
+            return b"".join(out), at, "member cut short"
         try:
             out.append(z.decompress(chunk))
         except zlib.error as e:
-            raise ValueError(f"member damaged: {e}") from None
+            # again up to this chunk, and then byte by byte, for what stands before the damage
+            z = zlib.decompressobj(31)
+            for x in range(pos, at, 65536):
+                z.decompress(view[x : x + 65536])
+            try:
+                for x in range(len(chunk)):
+                    out.append(z.decompress(chunk[x : x + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), at, f"member damaged: {e}"
         at += len(chunk)
-    return b"".join(out), at - len(z.unused_data)
+    return b"".join(out), at - len(z.unused_data), ""
+
+
+def _inner(inner: bytes, damaged: str) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """The valid records of a member's inflated bytes, and the gaps in these.
+
+    In a damaged member only a digest vouches for a record, and one at whose end the bytes break off is not known to be whole.
+    """
+    torn = bool(damaged) and "incorrect" not in damaged  # else the stream came to its end, with another checksum or length
+    records, gaps, at, gap, reason = [], [], 0, None, ""
+    while at < len(inner):
+        try:
+            one, after = parse_record(inner, at)
+            if damaged and not one["head"].get("warc-block-digest", "").startswith("sha1:"):
+                raise ValueError("no digest in a damaged member")
+            if torn and after >= len(inner):
+                raise ValueError("record at the end of what can be read")
+        except ValueError as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            m = _VERSION.search(inner, at + 1)
+            at = m.start() if m else len(inner)
+            continue
+        if gap is not None:
+            gaps.append((gap, at, reason))
+            gap = None
+        records.append(one)
+        at = after
+    if gap is not None:
+        gaps.append((gap, len(inner), reason))
+    return records, gaps
 
 
 def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
@@ -128,15 +171,15 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
     pos, gap, reason = 0, None, ""
     packed = data[:2] == _MAGIC[:2] or (not _VERSION.match(data) and 0 <= data.find(_MAGIC) < (data.find(b"WARC/1.") if b"WARC/1." in data else len(data)))
     while pos < len(data):
+        bad, inside = "", []
         try:
             if packed:
                 if data[pos : pos + 3] != _MAGIC:
                     raise ValueError("no member here")
-                inner, after = _inflate(view, pos)
-                got, at = [], 0
-                while at < len(inner):
-                    one, at = parse_record(inner, at)
-                    got.append(one)
+                inner, after, bad = _inflate(view, pos)
+                got, inside = _inner(inner, bad)
+                if not got and (bad or inside):
+                    raise ValueError(bad or inside[0][2])
             else:
                 one, after = parse_record(data, pos)
                 got = [one]
@@ -155,7 +198,11 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
             gaps.append((gap, pos, reason))
             gap = None
         records += got
-        pos = after
+        gaps += [(pos, after, f"{why} (inflated bytes {x} to {y} of the member)") for x, y, why in inside if not bad]
+        if bad:  # it ends where the next member that passes begins
+            gap, reason = pos, "; ".join([f"{bad} (after {len(inner)} inflated bytes)", *(f"{why} (inflated bytes {x} to {y})" for x, y, why in inside)])
+            after = data.find(_MAGIC, pos + 1)
+        pos = after if after >= 0 else len(data)
     if gap is not None:
         gaps.append((gap, len(data), reason))
     return records, gaps
