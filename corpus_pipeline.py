@@ -1,7 +1,8 @@
 """A training-corpus pipeline from five operators: what each stage drops is gone for the next.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents.  A row with a null doc_id passes the filters that go by doc_id.
+of documents.  Stages judge rows, not identifiers: rows whose doc_id is null or stands on several
+rows are judged and dropped one by one like all others.
 """
 
 from __future__ import annotations
@@ -21,6 +22,21 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
+def _drop_rows(docs: DataFrame, judge) -> DataFrame:
+    """docs without the rows that judge reports; judge takes doc_id and text and returns doc_ids.
+
+    Where doc_id tells all rows apart, it is the row key.  Else the place of each row in the order of
+    doc_id (null last), then of reading, stands for it, so of equals the smallest doc_id still stays.
+    """
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("doc_id is null or rows > 1").isEmpty():
+        return _without(docs, judge(docs.select("doc_id", "text")))
+    placed = docs.withColumn("row_place", F.monotonically_increasing_id())
+    ordered = placed.orderBy(F.col("doc_id").asc_nulls_last(), "row_place").drop("row_place")
+    keyed = materialise(ordered.withColumn("row_key", F.monotonically_increasing_id()), "stage-keys")
+    gone = judge(keyed.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("gone_key")).distinct()
+    return keyed.join(gone, keyed["row_key"] == gone["gone_key"], "left_anti").select(*docs.columns)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return quality.keep_good(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
@@ -28,17 +44,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
-    return _without(docs, exact_dedup.exact_dedup(docs).filter("not kept"))
+    return _drop_rows(docs, lambda rows: exact_dedup.exact_dedup(rows).filter("not kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) one document stays."""
-    return _without(docs, near_dedup.near_duplicates(docs, n=5, percent=80).filter("not kept"))
+    return _drop_rows(docs, lambda rows: near_dedup.near_duplicates(rows, n=5, percent=80).filter("not kept"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark")))
+    return _drop_rows(docs, lambda rows: decontaminate.find_contamination(rows, read(spark, sf_dir, "benchmark")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
