@@ -93,6 +93,46 @@ def test_exact_runs_merge(odd_docs):
     assert show(merged) == show(whole)
 
 
+def test_exact_tiers_merge(small_docs):
+    """However many flushes and merges there are, the index holds the same entries."""
+    show = lambda df: sorted((bytes(r.digest), tuple(r.best), r.size) for r in df.collect())
+    whole = exact_dedup.MergeIndex()
+    whole.add(small_docs)
+    parts = exact_dedup.MergeIndex(fan_in=2)
+    for k in range(7):
+        parts.add(small_docs.filter(f"doc_id % 7 = {k}"))
+    assert [len(t) for t in parts.tiers] == [1, 1, 1]
+    assert show(parts.run()) == show(whole.run()) == show(parts.run())
+
+
+def test_exact_filter(spark, small_docs):
+    """The filter lets all repeated digests through, at any size, and turns most others away."""
+    run = exact_dedup.compact(exact_dedup.flush(small_docs))
+    want = {bytes(r.digest) for r in run.filter("size > 1").collect()}
+    for most in (1 << 15, 1 << 17):
+        got = {bytes(r.digest) for r in exact_dedup.probe(run, *exact_dedup.repeats_filter(run, len(want), most)).collect()}
+        assert want <= got and len(got) < len(want) + run.count() / 4
+    assert want
+
+
+@pytest.mark.parametrize("docs", ["odd_docs", "small_docs"])
+def test_exact_digest_collisions(docs, request, monkeypatch):
+    """A digest of one byte makes texts collide: byte verification finds it, and the groups are still exact."""
+    monkeypatch.setattr(exact_dedup, "digest", lambda norm: exact_dedup.F.unhex(exact_dedup.F.substring(exact_dedup.F.sha2(norm, 256), 1, 2)))
+    df = request.getfixturevalue(docs)
+    want = Counter()
+    for (d, keep, size, kept, _), n in brute_exact(texts(df)).items():
+        want[d, keep, size, kept] += n
+    assert bag(exact_dedup.exact_dedup(df), *EXACT[:4]) == want
+
+
+def test_exact_hot_group(spark):
+    """Nearly all rows are copies of one text: the group is met by broadcast."""
+    rows = [(i, "one text" if i % 10 else f"other {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(exact_dedup.exact_dedup(df), *EXACT) == brute_exact(rows)
+
+
 @pytest.mark.parametrize(("docs", "w", "block"), [("odd_docs", 50, 1 << 12), ("odd_docs", 4, 1 << 12), ("no_docs", 50, 1 << 20), ("small_docs", 50, 1 << 16), ("small_docs", 50, 1 << 23)])
 def test_substring(docs, w, block, request):
     df = request.getfixturevalue(docs)

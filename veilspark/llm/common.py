@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,12 +28,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in spark.checkpoint.dir.  Only where that is unset, as in local tests,
-    a folder of this process serves.
+    A cluster names it in spark.checkpoint.dir.  Only in a local session, where driver and executors
+    are one process, may it be unset: then a folder of this process serves, which goes with it.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="veilspark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="veilspark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        place = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 
@@ -45,6 +51,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A group that holds at least one row in so many is met by broadcast, so no task gets all its rows.
+HOT_GROUPS = 2000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with groups, which has one row for each key and the number of its rows in size.
+
+    Of total rows, at most HOT_GROUPS keys can hold total / HOT_GROUPS or more each; these few groups
+    are broadcast, whatever the size of the table, and only rows of the others are shuffled.
+    """
+    hot = F.col(size) > total // HOT_GROUPS
+    large = F.broadcast(groups.filter(hot))
+    rest = rows.join(F.broadcast(groups.filter(hot).select(*on)), on, "left_anti").join(groups.filter(~hot), on)
+    return rows.join(large, on).unionByName(rest)
+
+
 def id_text(name: str = "doc_id"):
     """The identifier as text; a null identifier counts as empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
