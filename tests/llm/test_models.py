@@ -94,6 +94,19 @@ def test_mixing(docs, request):
     assert all(taken[s] == math.floor(goal[s] + 1e-6) or abs(taken[s] - goal[s]) < 1 for s in goal)
 
 
+def test_mixing_against_its_sql(spark):
+    """Many sources, null ids and a large source, in the order and with the draws of the SQL."""
+    import duckdb
+    import pandas as pd
+
+    rows = [(i if i % 5 else None, f"word{i} " * (i % 23), "big" if i % 3 else f"s{i % 400}" if i % 7 else None) for i in range(3000)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})  # noqa: F841
+    want = Counter((a, b, c, round(d, 6), e) for a, b, c, d, e in duckdb.sql(mixing.SQL).fetchall())
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spread = mixing.mix_sources(df.repartition(7))
+    assert Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in spread.collect()) == want
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as p
 

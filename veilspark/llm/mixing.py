@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, with DataFrame operations alone.
 
 Each document draws an exponential key -ln(u)/w: u comes from a digest of its doc_id and the
-seed, w is the document's quality weight (the share of letters among its first-class characters,
-see quality_weight), so better documents tend to come first.  Documents are sorted within their
+seed, w is the document's quality weight (the share of its characters that are
+neither digits nor symbols, see quality_weight), so better documents tend to come first.  Documents are sorted within their
 source by that key and their sizes are summed until the source's budget is met.  A source whose
 target is at least its size first takes every document whole (a complete epoch); only what is
 left of the target goes to the weighted selection.  The document in which the budget ends gives
@@ -10,11 +10,14 @@ just the words that are missing, so a source's taken words equal its target roun
 
 Prefix sums never gather a source in one task: keys are cut into buckets, the sizes of buckets
 are summed first, and only the bucket in which the budget ends is looked into, twice over; the
-last window sees about a 16-millionth of a source.
+last window sees about a 16-millionth of a source.  Nor do sources meet in one task: their ranks
+come from a distributed sort and the sizes of its parts, and the level at which targets are filled
+from a few sums, each a round over the table of sources.  Documents meet their source's plan by
+common.join_groups, so large sources are not gathered by the join either.
 
 Defined cases: null or empty text has size 0 and is taken 0 times; a null source is a source of
-its own, last in order; a source of size 0 has target 0; null doc_ids count as empty text when
-drawing; repeated rows count each (equal keys are broken by doc_id, then size); an empty table
+its own, last in order; a source of size 0 has target 0; a null doc_id draws by the text instead;
+repeated rows count each (equal keys are broken by doc_id, then size); an empty table
 gives an empty result; other columns are never read.
 """
 
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, id_text, materialise, read
+from .common import WORD, join_groups, materialise, read
 
 BUCKETS = 4096
 WEIGHTS = (5, 2, 1)
@@ -36,76 +39,89 @@ def word_count(text: str = "text"):
 
 
 def quality_weight(text: str = "text"):
-    """0.1 to 1: a documented, label-free weight - the share of bytes left when symbols go."""
+    """0.1 to 1: a documented, label-free weight - the share of characters left when digits and symbols go."""
     whole = F.coalesce(F.col(text), F.lit(""))
     kept = F.length(F.translate(whole, "|#$%&*!{}<>[]=_~^\\0123456789", ""))
     return F.greatest(F.lit(0.1), kept.cast("double") / F.greatest(F.length(whole), F.lit(1)).cast("double"))
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with rank, 1 for the first source by code point (null last), by a distributed sort.
+
+    Only the number of rows of each of the sort's parts comes to the driver.
+    """
+    placed = sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id())
+    placed = materialise(placed, "mix-sources")
+    part = F.shiftright("place", 33).cast("int")
+    counts = dict(placed.groupBy(part.alias("part")).count().collect())
+    before, starts = 0, []
+    for k in sorted(counts):
+        starts += [F.lit(k), F.lit(before)]
+        before += counts[k]
+    start = F.element_at(F.create_map(*starts), part) if starts else F.lit(0)
+    return placed.withColumn("rank", start + F.col("place").bitwiseAND((1 << 33) - 1) + 1).drop("place")
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """source, source_size, target from source, source_size: a row for each source.
+    """sizes with rank and target; sizes: source, source_size, a row for each source.
 
-    Filling by weight with a ceiling of cap times the size: sources are met in order of size to
-    weight; a source is at its ceiling as long as the rest, shared by weight, would exceed it.
+    Filling by weight with a ceiling of cap times the size: all sources share by weight; those above
+    their ceiling get the ceiling, and the others share what is left anew, until none is above.
     """
-    cycle = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())  # a row for each source, not for each document
-    w = sizes.withColumn("rank", F.row_number().over(by_name)).withColumn("weight", cycle.cast("double"))
-    order = Window.orderBy((F.col("source_size").cast("double") / F.col("weight")), "rank")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(0))
-    w = (
-        w.withColumn("filled", F.coalesce(F.sum("source_size").over(before), F.lit(0)).cast("double") * cap)
-        .withColumn("weight_left", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("all_size", F.sum("source_size").over(whole).cast("double"))
-        .withColumn("level", (F.col("all_size") * share - F.col("filled")) / F.col("weight_left"))
-        .withColumn("free", F.col("level") * F.col("weight") <= F.col("source_size").cast("double") * cap)
-    )
-    # every source from the first free one on gets that one's level
-    w = w.withColumn("first_free", F.first(F.when(F.col("free"), F.col("level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    target = F.when(F.col("first_free").isNull(), F.col("source_size").cast("double") * cap).otherwise(F.col("first_free") * F.col("weight"))
-    return w.select("source", "source_size", target.alias("target"))
+    cycle = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    w = ranked(sizes).withColumn("weight", cycle)
+    size, level, full, known = F.col("source_size").cast("double"), 0.0, F.lit(False), -1
+    while True:
+        sums = w.agg(F.sum(size), F.sum(F.when(full, size)), F.sum(F.when(~full, F.col("weight"))), F.count(F.when(full, 1))).first()
+        everything, filled, weight_left, n_full = (x or 0 for x in sums)
+        if n_full == known or not weight_left:
+            break
+        known, level = n_full, (everything * share - filled * cap) / weight_left
+        full = F.lit(level) * F.col("weight") > size * cap
+    return w.withColumn("target", F.when(full, size * cap).otherwise(F.lit(level) * F.col("weight"))).drop("weight")
 
 
 def mix_sources(docs: DataFrame, seed: int = 42, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """A row for each row of docs: doc_id, size, source_size, target, taken."""
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), id_text()).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), name).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
     rows = docs.select("doc_id", "source", word_count().alias("size"), u.alias("u"), quality_weight().alias("w"))
     # a place in (0, 1) that sorts as the exponential key -ln(u)/w does
     rows = rows.withColumn("key", -F.log(F.col("u")) / F.col("w")).withColumn("place", 1 - F.exp(-F.col("key")))
     rows = materialise(rows.select("doc_id", "source", "size", "key", "place"), "mix-sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sizes, weights, share, cap)
-    goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size").cast("double"))).otherwise(F.lit(0)).cast("long"))
-    goal = goal.withColumn("budget", F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
-    goal = materialise(goal, "mix-targets")
     # level 1: the bucket in which the budget ends; level 2: its sub-bucket
     a = F.least((F.col("place") * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
     b = F.least(((F.col("place") * BUCKETS - F.col("a")) * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
-    rows = rows.withColumn("a", a).withColumn("b", b)
+    named = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    rows = rows.withColumn("a", a).withColumn("b", b).withColumn("s", named).drop("source", "place")
+    first = materialise(rows.groupBy("s", "a").agg(F.sum("size").alias("sum"), F.count(F.lit(1)).alias("rows")), "mix-buckets")
+
+    sizes = first.groupBy("s").agg(F.sum("sum").alias("source_size"), F.sum("rows").alias("rows"))
+    goal = targets(sizes.withColumn("source", F.when(~F.col("s.none"), F.col("s.name"))), weights, share, cap)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size").cast("double"))).otherwise(F.lit(0)).cast("long")
+    goal = goal.select("s", "rows", "source_size", "target", epochs.alias("epochs"))
+    goal = goal.withColumn("budget", F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
 
-    def ends(sums: DataFrame, left: DataFrame, bucket: str, out: str) -> DataFrame:
-        """left: s, room.  Adds the bucket in which room ends (null: in none) and the sum before it."""
+    def ends(sums: DataFrame, left: DataFrame, bucket: str, out: str, room: str, rest: str) -> DataFrame:
+        """left with the bucket in which room ends (null: in none), and the room left before it."""
         before = Window.partitionBy("s").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
         cut = sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0)))
-        cut = cut.join(left, "s").filter((F.col("before") < F.col("room")) & (F.col("before") + F.col("sum") >= F.col("room")))
-        return left.join(cut.select("s", F.col(bucket).alias(out), F.col("before")), "s", "left")
-
-    named = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    rows, goal = rows.withColumn("s", named), goal.withColumn("s", named)
-    room = goal.select("s", F.col("budget").alias("room"))
-    one = ends(rows.groupBy("s", "a").agg(F.sum("size").alias("sum")), room, "a", "cut_a").withColumn("room2", F.col("room") - F.coalesce("before", F.lit(0))).select("s", "cut_a", "room2")
-    inside = rows.join(one, "s").filter(F.col("a") == F.col("cut_a"))
-    two = ends(inside.groupBy("s", "b").agg(F.sum("size").alias("sum")), one.select("s", F.col("room2").alias("room")), "b", "cut_b")
-    two = two.select("s", "cut_b", (F.col("room") - F.coalesce("before", F.lit(0))).alias("room3"))
-    plan = goal.select("s", "source_size", "target", "epochs", "budget").join(one, "s", "left").join(two, "s", "left")
-    joined = rows.join(plan, "s")
-    at_end = (F.col("a") == F.col("cut_a")) & (F.col("b") == F.col("cut_b"))
+        cut = cut.join(left.select("s", room), "s").filter((F.col("before") < F.col(room)) & (F.col("before") + F.col("sum") >= F.col(room)))
+        met = left.join(cut.select("s", F.col(bucket).alias(out), "before"), "s", "left")
+        return met.withColumn(rest, F.col(room) - F.coalesce("before", F.lit(0))).drop("before")
+
+    total = goal.agg(F.sum("rows")).first()[0] or 0
+    plan = materialise(ends(first, goal, "a", "cut_a", "budget", "room_a"), "mix-cuts")
+    inside = join_groups(rows, plan.filter("cut_a is not null").select("s", "cut_a", "rows"), ["s"], "rows", total).filter("a = cut_a")
+    second = inside.groupBy("s", "b").agg(F.sum("size").alias("sum"))
+    plan = materialise(ends(second, plan, "b", "cut_b", "room_a", "room_b"), "mix-plan")
+    joined = join_groups(rows, plan, ["s"], "rows", total)
+    at_end = F.coalesce((F.col("a") == F.col("cut_a")) & (F.col("b") == F.col("cut_b")), F.lit(False))
     full = (F.col("a") < F.col("cut_a")) | ((F.col("a") == F.col("cut_a")) & (F.col("b") < F.col("cut_b")))
     last = Window.partitionBy("s").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = joined.filter(F.coalesce(at_end, F.lit(False))).withColumn("seen", F.coalesce(F.sum("size").over(last), F.lit(0)))
-    cut = cut.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room3") - F.col("seen"))))
-    rest = joined.filter(~F.coalesce(at_end, F.lit(False))).withColumn("part", F.when(F.col("budget") <= 0, F.lit(0)).when(F.coalesce(full, F.lit(False)), F.col("size")).otherwise(F.lit(0)))
+    cut = joined.filter(at_end).withColumn("seen", F.coalesce(F.sum("size").over(last), F.lit(0)))
+    cut = cut.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room_b") - F.col("seen"))))
+    rest = joined.filter(~at_end).withColumn("part", F.when(F.col("budget") <= 0, F.lit(0)).when(F.coalesce(full, F.lit(False)), F.col("size")).otherwise(F.lit(0)))
     cols = ["doc_id", "size", "source_size", "target", "epochs", "part"]
     return cut.select(*cols).unionByName(rest.select(*cols)).select(
         "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
@@ -119,7 +135,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         (CAST(CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u,
+         (CAST(CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u,
          greatest(0.1, CAST(length(regexp_replace(coalesce(text, ''), '[|#$%&*!{}<>\[\]=_~^\\0-9]', '', 'g')) AS DOUBLE)
                        / CAST(greatest(length(coalesce(text, '')), 1) AS DOUBLE)) AS w
   FROM documents),
