@@ -13,7 +13,7 @@ def test_contract():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["detect_all_raw", "sanitize_hybrid", "eval_by_doc_strict", "eval_by_doc_relaxed", "similarity_tf", "person_candidates_documents", "sample_compare"])
+@pytest.mark.parametrize("name", ["detect_all_raw", "sanitize_hybrid", "eval_by_doc_strict", "eval_by_doc_relaxed", "similarity_tf", "person_candidates_documents", "sample_compare", "notes_batch", "medicaid_batch", "sample_clients", "session_places", "eval_stored_strict", "attach_stored", "sample_counts"])
 def test_same_as_sql(spark, name):
     import duckdb
 
@@ -24,21 +24,3 @@ def test_same_as_sql(spark, name):
     assert sorted(a.column_names) == sorted(b.column_names)
     bag = lambda t: Counter(zip(*[t[c].to_pylist() for c in sorted(t.column_names)], strict=True))
     assert bag(a) == bag(b) and a.num_rows
-
-
-def test_pipeline_judges_rows(spark, tmp_path):
-    """Null and repeated doc_ids: of equal texts one row stays, and a verdict drops the judged row alone."""
-    import corpus_pipeline as p
-
-    item = "The committee decided in the early spring that all nine bridges along the northern canal should be rebuilt before winter."
-    long = " ".join(f"w{i}" for i in range(80))
-    rows = [(None, "a b c"), (4, "a b c"), (4, "a b c"), (4, "other words here"), (None, "lonely"), (None, "lonely"), (7, long), (None, f"{long} tail"), (9, item), (9, "clean text"), (None, f"{item} {long[::-1]}")]
-    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    show = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
-    exact = p.exact_stage(spark, docs, str(tmp_path))
-    assert exact.columns == docs.columns
-    assert show(exact) == sorted([r for r in rows if r not in ((None, "a b c"), (4, "a b c"), (None, "lonely"))] + [(4, "a b c"), (None, "lonely")], key=str)
-    near = p.near_stage(spark, exact, str(tmp_path))
-    assert show(near) == [r for r in show(exact) if r != (None, f"{long} tail")]
-    assert show(p.decontamination_stage(spark, near, str(tmp_path))) == [r for r in show(near) if item not in r[1]]

@@ -43,6 +43,60 @@ def test_spans_round_trip(spark, folder, tmp_path):
     assert json.loads((tmp_path / "s.json").read_text())["hash"] == {"avg_removal_rate": 1.0, "total_documents": 2}
 
 
+def test_relative_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    writers.write_text_files(spark.createDataFrame([("a", "x"), ("b", None)], "filename string, text string"), "below/here")
+    assert (tmp_path / "below/here/a").read_text() == "x" and (tmp_path / "below/here/b").read_text() == ""
+
+
+def test_evaluation_document(spark, tmp_path):
+    counts = spark.createDataFrame([(1, 6, 2, 2), (2, 1, 0, 0)], "id long, tp long, fp long, fn long")
+    relaxed = deidentify.metrics(counts, "relaxed")
+    compared = deidentify.against_baselines(relaxed, {"old": 0.5})
+    writers.export_evaluation(deidentify.metrics(counts.limit(0), "strict"), relaxed, compared, str(tmp_path / "e.json"))
+    got = json.loads((tmp_path / "e.json").read_text())
+    assert got["strict"]["f1"] == 0.0 and got["relaxed"]["recall"] == 0.7778
+    assert got["baseline_comparison"] == {"old": {"recall": 0.7778, "baseline": 0.5, "improvement_pct": 55.56}}
+    assert writers.report(relaxed.select("mode", "tp", "recall"), "Scores") == "Scores\n===================\nmode     tp  recall\nrelaxed  7   0.7778"
+
+
+def test_summary_of_nothing(spark):
+    df = deidentify.detect(spark.createDataFrame([], "id long, text string"))
+    assert tuple(deidentify.summarise(df).first()) == (0, 0, 0.0)
+
+
+def test_generated_notes_follow_their_rules(spark):
+    """Slots of the templates, read back from the texts."""
+    from datetime import datetime
+    from functools import reduce
+
+    from veilspark.functions import generate as G
+
+    both = [r.asDict() for r in reduce(lambda a, b: a.unionByName(b), [generate.generate_notes(spark, 25, scenario=name) for name in ("maintenance", "environmental_triggers", "post_crisis_recovery")]).collect()]
+    day = lambda text: next(datetime.strptime(text, f) for f in ("%m/%d/%Y", "%m/%d/%y", "%B %d, %Y") if _parses(text, f))
+    for r in both:
+        text = r["text"]
+        session = datetime.strptime(text.rsplit(", ", 1)[1], "%m/%d/%Y")
+        if r["scenario"] == "maintenance":
+            seen = text.split("Watch again ")[1].split(".\nSigned")[0]
+            assert 40 <= (day(seen) - session).days <= 60
+        if r["scenario"] == "environmental_triggers":
+            first, second = text.split(" at ", 1)[1].split(" on ")[0].split(" and ")
+            assert first != second and {first, second} <= set(G.PROGRAMS)
+        if r["scenario"] == "post_crisis_recovery":
+            when = text.split(" after ")[1].split(" (INC-2025-")[0]
+            assert text.count(when) >= 4
+
+
+def _parses(text, form):
+    from datetime import datetime
+
+    try:
+        return bool(datetime.strptime(text, form))
+    except ValueError:
+        return False
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "t.csv").write_text("street,zip\nOak,01234\n")
     (tmp_path / "l.txt").write_text(" x \n\ny\n")

@@ -99,6 +99,34 @@ def against_baseline(measured: DataFrame, baseline: float) -> DataFrame:
     return measured.select("mode", "recall", F.lit(baseline).alias("baseline"), F.round((F.col("recall") - baseline) / baseline * 100, 2).alias("improvement_pct"))
 
 
+def against_baselines(measured: DataFrame, baselines: dict[str, float]) -> DataFrame:
+    """As against_baseline, a row for each named baseline."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(v)).alias("baseline")) for n, v in baselines.items()]))
+    rows = measured.select("mode", "recall", each.alias("b")).select("b.name", "mode", "recall", "b.baseline")
+    return rows.withColumn("improvement_pct", F.round((F.col("recall") - F.col("baseline")) / F.col("baseline") * 100, 2))
+
+
+def summarise(df: DataFrame, spans: str = "entities") -> DataFrame:
+    """One row: documents, spans, mean_spans (0 for an empty table)."""
+    s = df.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.size(spans)), F.lit(0)).cast("long").alias("spans"))
+    return s.withColumn("mean_spans", F.round(F.coalesce(F.try_divide(F.col("spans").cast("double"), F.col("documents").cast("double")), F.lit(0.0)), 4))
+
+
+def method_summary(df: DataFrame, similarity: DataFrame) -> DataFrame:
+    """method, avg_removal_rate, avg_similarity, total_documents: macro means of unrounded values, rounded to 4.
+
+    df: as sanitize_all gives it; similarity: method and similarity for each document.
+    """
+    mean = similarity.groupBy("method").agg(F.round(F.avg("similarity"), 4).alias("avg_similarity"))
+    return removal_summary(df).join(mean, "method", "left").select("method", "avg_removal_rate", "avg_similarity", "total_documents")
+
+
+def compare_sample_counts(truth: DataFrame, pred: DataFrame, key_value: int) -> DataFrame:
+    """side, n: the number of spans of one document on both sides."""
+    side = lambda df, name: df.filter(F.col("id") == key_value).select(F.lit(name).alias("side"), F.size("entities").cast("long").alias("n"))
+    return side(truth, "truth").unionByName(side(pred, "pred"))
+
+
 def entity_distribution(spans: DataFrame) -> DataFrame:
     """type, n, pct of exploded spans; empty input gives no rows."""
     n = spans.groupBy("type").agg(F.count(F.lit(1)).alias("n"))

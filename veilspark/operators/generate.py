@@ -22,7 +22,7 @@ def generate_notes(spark: SparkSession, n: int, seed: int = 42, scenario: str |
     if scenario is None:
         df = spark.sql(G.notes_sql(d, _keys(spark, n)))
     else:
-        body = G._template(d, G.TEMPLATES[scenario]) if scenario in G.TEMPLATES else "cast(null as string)"
+        body = G.text_sql(d, G.body_sql(d, scenario)) if scenario in G.TEMPLATES else "cast(null as string)"
         df = spark.sql(f"select k as id, '{scenario if scenario in G.TEMPLATES else 'unknown'}' as scenario, {body} as text from ({G.fields_sql(d, _keys(spark, n))}) gg")
     return df.select("id", "scenario", F.format_string("note_%04d_%s.txt", "id", "scenario").alias("filename"), "text")
 

@@ -7,6 +7,8 @@ small collections; everything else is written by tasks.
 from __future__ import annotations
 
 import json
+import os
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,16 +46,18 @@ def write_text_files(df: DataFrame, folder: str, name: str = "filename", text: s
     """One UTF-8 file for each row, named by a column.
 
     A file appears under its name only when whole, and a task that runs again writes the same
-    names.  folder must be on a store that all executors reach.
+    names.  folder must be on a store that all executors reach; a relative one is below the driver's
+    working folder.
     """
+    local = folder.startswith("file:") or "://" not in folder
+    place = re.sub(r"^file:/+", "/", folder) if folder.startswith("file:") else os.path.abspath(folder)
 
     def write(rows):
         import uuid
 
         from pyarrow import fs
 
-        local = folder.startswith("file:") or "://" not in folder
-        store, base = (fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(folder)
+        store, base = (fs.LocalFileSystem(), place) if local else fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         for row in rows:
             temp = f"{base}/.{uuid.uuid4().hex}"
@@ -75,3 +79,19 @@ def export_summary(df: DataFrame, path: str, key: str | None = None) -> None:
 def write_id_list(df: DataFrame, path: str, column: str) -> None:
     """Distinct values, sorted, one for each line; a global sort keeps the part files in order."""
     df.select(F.col(column).cast("string").alias("value")).distinct().orderBy("value").write.mode("overwrite").text(path)
+
+
+def export_evaluation(strict: DataFrame, relaxed: DataFrame, improvement: DataFrame, path: str) -> None:
+    """One JSON document: the metrics of both modes, and the comparison with each baseline by its name (see deidentify.against_baselines)."""
+    one = lambda df: df.first().asDict()
+    compared = {r.pop("name"): r for r in (row.asDict() for row in improvement.drop("mode").collect())}
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"strict": one(strict), "relaxed": one(relaxed), "baseline_comparison": compared}, f, indent=2)
+
+
+def report(df: DataFrame, title: str, rows: int = 100) -> str:
+    """A small table as text: the title, a rule, aligned columns; the first rows of it (a preview)."""
+    found = [[str(x) for x in df.columns], *[["" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x) for x in r] for r in df.limit(rows).collect()]]
+    widths = [max(len(r[k]) for r in found) for k in range(len(df.columns))]
+    lines = ["  ".join(x.ljust(w) for x, w in zip(r, widths, strict=True)).rstrip() for r in found]
+    return "\n".join([title, "=" * max(len(title), *map(len, lines)), *lines])
