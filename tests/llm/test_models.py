@@ -28,6 +28,59 @@ def test_lm_counts_and_base(docs, request):
     assert all(r.score <= 1e-9 for r in got)
 
 
+@pytest.mark.parametrize("docs", ["odd_docs", "no_docs", "small_docs"])
+@pytest.mark.parametrize("fan", [3, 256])
+def test_lm_score_against_a_plain_model(docs, fan, request):
+    """The whole model over again, word by word: counts, cells, EM by buckets, and the score; few receivers make several levels."""
+    df = request.getfixturevalue(docs)
+    rows = [(r.doc_id, [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")), None]) for r in df.collect()]
+    got = interpolation.lm_score(df, block_bytes=1 << 13, fan=fan).collect()
+    if not rows:
+        assert not got
+        return
+    pairs = lambda ws: zip(["start", *ws[:-1]], ws, strict=True)
+    main, tune, both = Counter(), Counter(), Counter()
+    uni, uni_main = Counter(), Counter()
+    for d, ws in rows:
+        f = fold(d, 10)
+        if f:
+            both.update(pairs(ws))
+            uni.update(ws)
+            (tune if f == interpolation.TUNE else main).update(pairs(ws))
+            if f != interpolation.TUNE:
+                uni_main.update(ws)
+    before = lambda v, c: c[None] if v == "start" else c[v]
+    n_main, n, v = sum(uni_main.values()), sum(uni.values()), len(uni)
+    step = interpolation.STEP
+    rounded = lambda x: 2 ** -(min(max(round(-math.log2(x) * step), 0), interpolation.CELLS - 2) / step) if x else 0.0
+    bucket = lambda c: min(int(math.log2(c)) + 1, interpolation.CONTEXTS - 1) if c else 0
+
+    def em(data):
+        w = [1 / 3] * 3
+        for _ in range(60):
+            share = [1e-3] * 3
+            for p, k in data:
+                z = sum(a * b for a, b in zip(p, w, strict=True))
+                share = [s + k * a * b / z for s, a, b in zip(share, p, w, strict=True)]
+            w = [x / (sum(k for _, k in data) + 3e-3) for x in share]
+        return w
+
+    held = [(bucket(before(a, uni_main)), (rounded(main[a, b] / before(a, uni_main) if before(a, uni_main) else 0), rounded(uni_main[b] / max(n_main, 1)), 1 / (v + 1)), k) for (a, b), k in tune.items()]
+    whole = em([x[1:] for x in held]) if held else [1 / 3] * 3
+    weights = {c: em([x[1:] for x in held if x[0] == c]) if any(x[0] == c for x in held) else whole for c in range(interpolation.CONTEXTS)}
+    want = []
+    for d, ws in rows:
+        total = 0.0
+        for a, b in pairs(ws):
+            c = before(a, uni)
+            w = weights[bucket(c)]
+            total += math.log10(w[0] * min(both[a, b] / max(c, 1), 1) + w[1] * uni[b] / max(n, 1) + w[2] / (v + 1)) if n else 0.0
+        want.append((str(d), len(ws), total))
+    have = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+    for x, y in zip(have, sorted(want), strict=True):
+        assert x[:2] == y[:2] and x[2] == pytest.approx(y[2], abs=1e-3, rel=1e-3)
+
+
 def test_lm_is_better_than_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = [r for r in interpolation.lm_score(docs).collect() if r.held_out]

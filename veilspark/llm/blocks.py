@@ -6,6 +6,12 @@ and sends them, sorted and packed, to buckets by key range; a bucket merges what
 and answers each block in the order that it asked.  So a key costs at most one entry for each
 block, however often it occurs, rows of the shuffle are few and large but bounded, and no task
 holds more than a block or a bucket.
+
+No sender has more than FAN receivers.  Where there are more buckets than that, keys travel in
+levels: a node of a level takes the keys of one range from a group of at most about FAN senders,
+folds them as a bucket would, and sends them on to the parts of its range; answers come back the
+same way.  Each level has about as many nodes as there are buckets, so rows grow with the number
+of blocks times FAN times the levels, whose number is the logarithm of the input to the base FAN.
 """
 
 from __future__ import annotations
@@ -17,9 +23,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import flat_bytes, materialise
+from .common import flat_bytes, materialise, mix
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+BLOCKS_PER_TASK = 8
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
@@ -97,33 +104,120 @@ def pack_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     return materialise(docs.mapInArrow(run, "gid long, blob binary"), "blocks")
 
 
-def by_range(keys: np.ndarray, buckets: int):
-    """(bucket, begin, end) over sorted keys."""
-    if not len(keys):
-        return
-    n = np.minimum(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.uint64(buckets - 1)).astype(np.int64)
-    edge = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1])))
-    for a, b in zip(edge, np.append(edge[1:], len(n)), strict=True):
-        yield int(n[a]), int(a), int(b)
-
-
-REQUEST = "kind string, bucket int, gid long, blob binary"
-ANSWER = "kind string, bucket int, gid long, blob binary"
+FAN = 256
 
-
-def request_rows(kind: str, gid: int, keys: np.ndarray, buckets: int, *more: np.ndarray):
-    """Rows of REQUEST for sorted keys and what goes with each."""
-    for bucket, a, b in by_range(keys, buckets):
-        yield kind, bucket, gid, pack_arrays(keys[a:b], *[m[a:b] for m in more])
+REQUEST = "kind string, bucket long, gid long, blob binary"
+ANSWER = REQUEST
 
 
 def rows_table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
+        [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
         names=["kind", "bucket", "gid", "blob"],
     )
 
 
+class Exchange:
+    """Where keys go: levels of at most fan receivers each, and fan ** levels buckets.
+
+    A node of level k is numbered group * fan^k + range: its senders' group among fan^(levels - k),
+    and its key range among fan^k.  At the last level there is one group, and ranges are buckets.
+    """
+
+    def __init__(self, buckets: int, fan: int = FAN):
+        self.levels = 1
+        while fan**self.levels < buckets:
+            self.levels += 1
+        self.fan = max(1, next(f for f in range(max(2, fan) + 1) if f**self.levels >= buckets))
+        self.buckets = self.fan**self.levels
+
+    def ranges(self, keys: np.ndarray, level: int):
+        """(range of that level, begin, end) over sorted keys."""
+        if not len(keys):
+            return
+        n = np.minimum(((keys >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32), np.uint64(self.buckets - 1))
+        n = (n // np.uint64(self.fan ** (self.levels - level))).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1])))
+        for a, b in zip(edge, np.append(edge[1:], len(n)), strict=True):
+            yield int(n[a]), int(a), int(b)
+
+    def node(self, group: int, level: int, key_range: int) -> int:
+        return (group % self.fan ** (self.levels - level)) * self.fan**level + key_range
+
+    def first(self, gid: int, keys: np.ndarray):
+        """(node, begin, end): where the sorted keys of a block go."""
+        group = int(mix(np.array([gid], dtype=np.uint64))[0] >> np.uint64(1))
+        for r, a, b in self.ranges(keys, 1):
+            yield self.node(group, 1, r), a, b
+
+    def request_rows(self, kind: str, gid: int, keys: np.ndarray, *more: np.ndarray):
+        """Rows of REQUEST for a block's sorted keys and what goes with each."""
+        for node, a, b in self.first(gid, keys):
+            yield kind, node, gid, pack_arrays(keys[a:b], *[m[a:b] for m in more])
+
+    def answers(self, requests: DataFrame, fold, answer, cut, name: str) -> DataFrame:
+        """Rows of ANSWER to each block, and those of answer's own with gid -1, written down.
+
+        fold(kind, parts) -> (place of each entry among the folded ones, folded arrays), where parts
+        are the arrays of each sender and the first folded array are the sorted keys;
+        answer(kind, folded) -> (arrays aligned with the keys, further rows (kind, arrays));
+        cut(kind, folded, begin, end) -> the arrays of a part of the keys.
+        """
+        asked = []
+        for level in range(1, self.levels):
+            asked.append(materialise(requests, f"{name}-level"))
+            requests = asked[-1].groupBy("kind", "bucket").applyInArrow(self._forward(level, fold, cut), REQUEST)
+
+        def root(table: pa.Table) -> pa.Table:
+            kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
+            gids, parts = gathered(table)
+            place, folded = fold(kind, parts)
+            out, more = answer(kind, folded)
+            return pa.Table.from_batches([rows_table(list(_dealt(kind, bucket, gids, parts, place, out)) + [(k, bucket, -1, pack_arrays(*arrays)) for k, arrays in more])])
+
+        got = materialise(requests.groupBy("kind", "bucket").applyInArrow(root, ANSWER), name)
+        extra = got.filter("gid < 0")
+        for level in range(self.levels - 1, 0, -1):
+            down = got.filter("gid >= 0").toDF("kind", "part", "bucket", "blob")
+            back = asked[level - 1].groupBy("kind", "bucket").cogroup(down.groupBy("kind", "bucket"))
+            got = materialise(back.applyInArrow(lambda a, b: _back(a, b, fold), ANSWER), name)
+        return got if self.levels == 1 else got.unionByName(extra)
+
+    def _forward(self, level: int, fold, cut):
+        def run(table: pa.Table) -> pa.Table:
+            kind, node = table["kind"][0].as_py(), table["bucket"][0].as_py()
+            _, folded = fold(kind, gathered(table)[1])
+            group = node // self.fan**level
+            return rows_to_table([(kind, self.node(group, level + 1, r), node, pack_arrays(*cut(kind, folded, a, b))) for r, a, b in self.ranges(folded[0], level + 1)])
+
+        return run
+
+
+def _dealt(kind, bucket, gids, parts, place, out):
+    a = 0
+    for gid, p in zip(gids, parts, strict=True):
+        at = place[a : a + len(p[0])]
+        yield kind, bucket, gid, pack_arrays(*[x[at] for x in out])
+        a += len(p[0])
+
+
+def _back(asked: pa.Table, got: pa.Table, fold) -> pa.Table:
+    """A node's answers to its senders, from those that it got itself."""
+    if not asked.num_rows:
+        return rows_to_table([])
+    kind, node = asked["kind"][0].as_py(), asked["bucket"][0].as_py()
+    gids, parts = gathered(asked)
+    place, _ = fold(kind, parts)
+    order, blobs = np.argsort(got["part"].to_numpy()), got["blob"].to_pylist()
+    answers = [unpack_arrays(blobs[i]) for i in order]
+    out = [np.concatenate(x) for x in zip(*answers, strict=True)]
+    return rows_to_table(list(_dealt(kind, node, gids, parts, place, out)))
+
+
+def rows_to_table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([rows_table(rows)])
+
+
 def gathered(table: pa.Table) -> tuple[list[int], list[list[np.ndarray]]]:
     """The blocks that sent something to a bucket, in order, and their arrays."""
     gids = table["gid"].to_pylist()
@@ -155,6 +249,10 @@ def per_block(packed: DataFrame, answers: DataFrame, fn, schema: str) -> DataFra
     from pyspark.sql.types import _parse_datatype_string
 
     empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+    # about BLOCKS_PER_TASK blocks for a task, however many there are
+    tasks = -(-packed.count() // BLOCKS_PER_TASK)
+    if tasks > int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        packed, answers = packed.repartition(tasks, "gid"), answers.repartition(tasks, "gid")
     return packed.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(run, schema)
 
 

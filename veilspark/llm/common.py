@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -84,8 +85,11 @@ def _tables(seed: int, *shape: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, size=shape, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_BYTE_AT = _tables(20231, 64, 256)
-_BYTE_AT_FLAT = _BYTE_AT.reshape(-1)
+@functools.cache
+def _byte_at(seed: int) -> np.ndarray:
+    return _tables(20231 + seed, 64, 256).reshape(-1)
+
+
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -138,8 +142,9 @@ def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 16, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each word: tabulation hashing by byte and place, summed and finalised."""
+    table = _byte_at(seed)
     out = np.empty(len(starts), dtype=np.uint64)
     for a in range(0, len(starts), step):
         s, e = starts[a : a + step], ends[a : a + step]
@@ -148,7 +153,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int
         np.cumsum(size[:-1], out=first[1:])
         place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
         byte = raw[place + np.repeat(s, size)]
-        value = _BYTE_AT_FLAT[((place & 63) << 8) | byte]
+        value = table[((place & 63) << 8) | byte]
         if int(size.max(initial=0)) > 64:
             with np.errstate(over="ignore"):
                 value = value * ((place >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1))
@@ -161,17 +166,36 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int
 class Words:
     """The words of a batch of texts: hashes, byte bounds, and the first word of each row."""
 
-    def __init__(self, column, lower: bool = False):
+    def __init__(self, column, lower: bool = False, seed: int = 0):
         self.raw, self.off = flat_bytes(column)
         if lower:
             self.raw = LOWER[self.raw]
         self.starts, self.ends = word_bounds(self.raw, self.off)
         self.first = np.searchsorted(self.starts, self.off)
-        self.hash = word_hashes(self.raw, self.starts, self.ends)
+        self.hash = word_hashes(self.raw, self.starts, self.ends, seed=seed)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Hash, length and bytes of each distinct word, sorted by hash; and whether two words share a hash."""
+        names, at, number = np.unique(self.hash, return_index=True, return_inverse=True)
+        size, like = self.ends - self.starts, at[number]
+        same = bool((size == size[like]).all())
+        for a in range(0, len(size), 1 << 16):
+            if not same:
+                break
+            n, x, y = size[a : a + (1 << 16)], self.starts[a : a + (1 << 16)], self.starts[like[a : a + (1 << 16)]]
+            same = bool((self.raw[_spread(x, n)] == self.raw[_spread(y, n)]).all())
+        return names, size[at], self.raw[_spread(self.starts[at], size[at])], not same
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each, size of them, one after the other."""
+    first = np.zeros(len(size), dtype=np.int64)
+    np.cumsum(size[:-1], out=first[1:])
+    return np.arange(int(size.sum()), dtype=np.int64) + np.repeat(start - first, size)
+
 
 def slices(off: np.ndarray, limit: int):
     """Cut rows with the given offsets into runs of about limit units, one row at least."""

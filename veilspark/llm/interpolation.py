@@ -5,7 +5,8 @@ three weights depend on the bucket of c(v), the frequency of the context (powers
 are learned by expectation-maximisation on held-out counts: of the texts that may be learned from,
 one tenth is set aside, the estimates of the others give each held-out bigram its three terms, and
 what EM needs of all of them - how often each combination of bucket, bigram and unigram estimate
-occurs, estimates rounded to a 32nd of a doubling - is counted in one pass over all data.  Scores
+occurs, estimates rounded to an eighth of a doubling - is counted in one pass over all data.  There
+are at most CONTEXTS * CELLS^2 combinations (3.3 million, 52 MB), whatever the corpus.  Scores
 then use the counts of all texts that may be learned from.
 
 Counts of words and bigrams cover the whole corpus, by the block exchange: a block asks once for
@@ -24,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import ANSWER, BLOCK_BYTES, REQUEST, answers_of, blocks_of, by_range, gathered, joined, pack_arrays, pack_documents, per_block, request_rows, rows_table, unpack_arrays
-from .common import Words, materialise, mix, read, remainder
+from .blocks import BLOCK_BYTES, FAN, REQUEST, Exchange, answers_of, blocks_of, joined, pack_arrays, pack_documents, per_block, rows_table, unpack_arrays
+from .common import Words, mix, read, remainder
 
 FOLDS = 10
 TUNE = 1  # the fold of the learnable texts that EM holds out
 END, START = np.uint64(0x1234567890ABCDEF), np.uint64(0x0FEDCBA987654321)
 CONTEXTS = 32
-STEP = 32  # cells of each doubling of an estimate
+STEP = 8  # cells of each doubling of an estimate
 CELLS = 40 * STEP
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -58,7 +59,7 @@ class Tokens:
         self.main = (fold != 0) & (fold != TUNE)
         self.tune = fold == TUNE
         with np.errstate(over="ignore"):
-            self.pair = mix(self.now * _K1 + mix(self.before * _K2)) & np.uint64(0xFFFFFFFFFFFFFF00)
+            self.pair = mix(self.now * _K1 + mix(self.before * _K2))
 
     def count(self, keys: np.ndarray):
         """Distinct keys, the number of each token's key, and counts in the two parts of the learnable texts."""
@@ -71,15 +72,6 @@ class Tokens:
         return self.count(self.now)
 
 
-def _ask_words(buckets: int):
-    def run(batches):
-        for gid, block in blocks_of(batches):
-            names, _, main, tune = Tokens(block).count_words()
-            yield rows_table(list(request_rows("word", gid, names, buckets, main, tune)))
-
-    return run
-
-
 def _cell(x: np.ndarray) -> np.ndarray:
     """0 for 0, else the place of x, at most 1, on a scale of STEP to each halving."""
     out = np.zeros(len(x), dtype=np.int64)
@@ -92,46 +84,47 @@ def context_bucket(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, np.minimum(np.floor(np.log2(np.maximum(c, 1))).astype(np.int64) + 1, CONTEXTS - 1), 0)
 
 
-def _merge_words(table: pa.Table) -> pa.Table:
-    kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-    gids, parts = gathered(table)
-    key = np.concatenate([p[0] for p in parts])
-    names, number = np.unique(key, return_inverse=True)
-    main, tune = (np.bincount(number, weights=np.concatenate([p[i] for p in parts]), minlength=len(names)).astype(np.int64) for i in (1, 2))
-    rows, a = [], 0
-    for gid, p in zip(gids, parts, strict=True):
-        at = number[a : a + len(p[0])]
-        rows.append((kind, bucket, gid, pack_arrays(main[at], tune[at])))
-        a += len(p[0])
-    rows.append(("total", bucket, -1, pack_arrays(np.array([main.sum(), tune.sum(), ((main + tune) > 0).sum()], dtype=np.int64))))
-    return pa.Table.from_batches([rows_table(rows)])
-
-
-def _merge_pairs(n_main: int):
-    def run(table: pa.Table) -> pa.Table:
-        kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-        gids, parts = gathered(table)
-        key = np.concatenate([p[0] for p in parts])
-        names, number = np.unique(key, return_inverse=True)
-        main, tune = (np.bincount(number, weights=np.concatenate([p[i] for p in parts]), minlength=len(names)).astype(np.int64) for i in (1, 2))
-        rows, a = [], 0
-        for gid, p in zip(gids, parts, strict=True):
-            at = number[a : a + len(p[0])]
-            rows.append((kind, bucket, gid, pack_arrays((main + tune)[at].astype(np.uint32))))
-            a += len(p[0])
-        # the held-out pairs of this bucket, by cell; c(v) and c(w) came with the requests that hold one out
-        c1, c2 = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+def _sums(parts, names, number, *at):
+    return [np.bincount(number, weights=np.concatenate([p[i] for p in parts]), minlength=len(names)).astype(np.int64) for i in at]
+
+
+def _fold(kind: str, parts):
+    """Words: key, main, tune.  Pairs: also c(v) and c(w), of those that are held out somewhere."""
+    names, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    main, tune = _sums(parts, names, number, 1, 2)
+    folded = [names, main.astype(np.uint64), tune.astype(np.uint64)]
+    if kind == "pair":
+        c1, c2 = np.zeros(len(names), np.uint64), np.zeros(len(names), np.uint64)
         a = 0
         for p in parts:
             at = number[a : a + len(p[0])][p[2] > 0]
             c1[at], c2[at] = p[3], p[4]
             a += len(p[0])
-        held = np.flatnonzero(tune > 0)
-        m, x, y = main[held], c1[held], c2[held]
+        held = tune > 0
+        folded += [c1[held], c2[held]]
+    return number, folded
+
+
+def _cut(kind: str, folded, a: int, b: int):
+    out = [x[a:b] for x in folded[:3]]
+    if kind == "pair":
+        held = np.concatenate(([0], np.cumsum(folded[2] > 0)))
+        out += [x[held[a] : held[b]] for x in folded[3:]]
+    return out
+
+
+def _answer(n_main: int):
+    def run(kind: str, folded):
+        main, tune = (x.astype(np.int64) for x in folded[1:3])
+        if kind == "word":
+            return [main, tune], [("total", [np.array([main.sum(), tune.sum(), ((main + tune) > 0).sum()], dtype=np.int64)])]
+        # the held-out pairs of this bucket, by cell
+        held = tune > 0
+        m, x, y = main[held], folded[3].astype(np.int64), folded[4].astype(np.int64)
         cell = (context_bucket(x) * CELLS + _cell(m / np.maximum(x, 1))) * CELLS + _cell(y / max(n_main, 1))
         cells, place = np.unique(cell, return_inverse=True)
-        rows.append(("cells", bucket, -1, pack_arrays(cells.astype(np.int64), np.bincount(place, weights=tune[held], minlength=len(cells)).astype(np.int64))))
-        return pa.Table.from_batches([rows_table(rows)])
+        n = np.bincount(place, weights=tune[held], minlength=len(cells)).astype(np.int64)
+        return [(main + tune).astype(np.uint64)], [("cells", [cells.astype(np.int64), n])]
 
     return run
 
@@ -165,11 +158,17 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, vocabulary: int, rounds: int
     return out
 
 
-def lm_score(docs: DataFrame, folds: int = FOLDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_score(docs: DataFrame, folds: int = FOLDS, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     packed = pack_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", remainder(folds).cast("int").alias("fold")), block_bytes)
-    buckets = 2 * max(1, packed.count())
-    words = materialise(packed.mapInArrow(_ask_words(buckets), REQUEST).groupBy("kind", "bucket").applyInArrow(_merge_words, ANSWER), "lm-words")
+    exchange = Exchange(2 * max(1, packed.count()), fan)
+
+    def ask_words(batches):
+        for gid, block in blocks_of(batches):
+            names, _, main, tune = Tokens(block).count_words()
+            yield rows_table(list(exchange.request_rows("word", gid, names, main, tune)))
+
+    words = exchange.answers(packed.mapInArrow(ask_words, REQUEST), _fold, _answer(0), _cut, "lm-words")
 
     def totals(batches):
         for batch in batches:
@@ -200,15 +199,15 @@ def lm_score(docs: DataFrame, folds: int = FOLDS, block_bytes: int = BLOCK_BYTES
         some[number] = np.arange(len(number))
         rows = []
         full1, full2 = before[some], main_now[some]
-        for bucket, a, b in by_range(names, buckets):
+        for node, a, b in exchange.first(gid, names):
             h = tune[a:b] > 0
-            rows.append(("pair", bucket, gid, pack_arrays(names[a:b], main[a:b], tune[a:b], full1[a:b][h].astype(np.uint64), full2[a:b][h].astype(np.uint64))))
+            rows.append(("pair", node, gid, pack_arrays(names[a:b], main[a:b], tune[a:b], full1[a:b][h].astype(np.uint64), full2[a:b][h].astype(np.uint64))))
         yield rows_table(rows)
 
     word_answers = words.filter("kind = 'word'")
-    pairs = materialise(per_block(packed, word_answers, ask_pairs, REQUEST).groupBy("kind", "bucket").applyInArrow(_merge_pairs(n_main), ANSWER), "lm-pairs")
+    pairs = exchange.answers(per_block(packed, word_answers, ask_pairs, REQUEST), _fold, _answer(n_main), _cut, "lm-pairs")
     cells = pairs.filter("kind = 'cells'").select("blob").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    # by context bucket and bigram estimate, the unigram estimate's cell is kept: at most CONTEXTS * CELLS^2, in practice thousands
+    # at most CONTEXTS * CELLS^2 rows
     got = cells.orderBy("cell").toArrow()
     weights = learn_weights(got["cell"].to_numpy(), got["n"].to_numpy(), vocabulary)
 
@@ -218,7 +217,7 @@ def lm_score(docs: DataFrame, folds: int = FOLDS, block_bytes: int = BLOCK_BYTES
         count = main + tune
         before = context(tokens, count)
         _, number, *_ = tokens.count(tokens.pair)
-        pair = joined(answers_of(table, "pair"), 0, np.uint32)[number].astype(np.float64)
+        pair = joined(answers_of(table, "pair"), 0, np.uint64)[number].astype(np.float64)
         w = weights[context_bucket(before)]
         p = w[:, 0] * np.minimum(pair / np.maximum(before, 1), 1) + w[:, 1] * count / max(n_all, 1) + w[:, 2] / (vocabulary + 1)
         if not n_all:

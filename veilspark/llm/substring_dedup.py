@@ -1,6 +1,7 @@
 """Substring dedup by recompression.
 
-Words are named by 64-bit hashes.  Runs of one word are named first; then, round after round, the
+Words are named by 64-bit hashes.  These names are verified: distinct words meet by name over all
+documents, byte by byte, and if two words share a name, all are named anew under another seed.  Runs of one word are named first; then, round after round, the
 names are split in left and right ones by a seeded bit, and each left name followed by a right one
 becomes a new name.  Every round is a function of names alone, so equal word sequences get equal
 names inside, wherever they stand.  With each name goes the stretch of words that decided it, so
@@ -11,8 +12,12 @@ A window's mark is the first certain name of the highest round that has one.  Co
 with one mark form a segment, which is again a function of the words alone.  Of each distinct
 segment the smallest doc_id is found over all documents; where a mark has one distinct segment
 only, that settles its windows.  Where a mark stands in different segments, the windows of one
-copy of each are compared one by one, by 128-bit fingerprints of their words.  So long repeats
-cost one entry for each segment, and single windows count only at the ends of repeats.
+copy of each are compared one by one.  Segments and windows are equal if two 64-bit polynomials in
+the verified names of their words are.  So long repeats cost one entry for each segment, and single
+windows count only at the ends of repeats.
+
+Since a name is a function of what it stands for, rounds need no exchange to name globally; all of
+a block's run in one pass over it.
 
 Defined cases: null text has no words; documents shorter than a window keep all; a window that
 repeats inside one document alone is not removed; a null doc_id is larger than all others; rows
@@ -29,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import ANSWER, BLOCK_BYTES, REQUEST, answers_of, blocks_of, gathered, joined, pack_arrays, pack_documents, per_block, request_rows, rows_table
-from .common import Words, materialise, mix, read
+from .blocks import BLOCK_BYTES, FAN, REQUEST, Exchange, answers_of, blocks_of, joined, pack_arrays, pack_documents, per_block, rows_table, unpack_arrays
+from .common import Words, mix, read
 
 WINDOW = 50
 ROUNDS = 11
 NULL_ID = 2**63 - 1
+SEEDS = 8
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _FAR = 1 << 30
 _BITS = mix(np.arange(1, ROUNDS + 2, dtype=np.uint64) * np.uint64(15485863))
@@ -110,9 +116,9 @@ def rounds(h: np.ndarray, row: np.ndarray, window: int, n_rounds: int = ROUNDS):
 class Segments:
     """The segments of a block: mark, first window, number of windows, row; and fingerprints."""
 
-    def __init__(self, table: pa.Table, window: int = WINDOW):
+    def __init__(self, table: pa.Table, window: int = WINDOW, seed: int = 0):
         self.window = window
-        self.words = Words(table["text"])
+        self.words = Words(table["text"], seed=seed)
         ids = table["doc_id"].to_pylist()
         self.ids = np.array([NULL_ID if i is None else i for i in ids], dtype=np.int64)
         h, first = self.words.hash, self.words.first
@@ -183,62 +189,90 @@ class Segments:
         return place, np.repeat(self.doc[pick], size)
 
 
-def _least(gids, parts, doc_at: int):
-    """For entries (key, key2, doc) of all blocks: the smallest doc of each key, in the order asked."""
-    key, key2, doc = (np.concatenate([p[i] for p in parts]) for i in (0, 1, doc_at))
+def _words_at(size: np.ndarray, raw: np.ndarray) -> list[bytes]:
+    ends, data = np.cumsum(size).tolist(), raw.tobytes()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _fold(kind: str, parts):
+    """Marks: mark, its one content or 0.  Words: name, length, bytes.  Segments and windows: two keys, the smallest doc."""
+    if kind == "mark":
+        mark, code = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        names, place = np.unique(mark, return_inverse=True)
+        lo, hi = np.full(len(names), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(names), np.uint64)
+        np.minimum.at(lo, place, code)
+        np.maximum.at(hi, place, code)
+        return place, [names, np.where(lo == hi, lo, np.uint64(0))]
+    if kind == "word":
+        seen = sorted({x for p in parts for x in zip(p[0].tolist(), _words_at(p[1], p[2]), strict=True)})
+        names = np.array([h for h, _ in seen], dtype=np.uint64)
+        place = np.searchsorted(names, np.concatenate([p[0] for p in parts]))
+        return place, [names, np.array([len(w) for _, w in seen], dtype=np.int64), np.frombuffer(b"".join(w for _, w in seen), np.uint8)]
+    if kind == "collided":
+        return np.zeros(len(parts), np.int64), [np.zeros(1, np.uint64)]
+    key, key2, doc = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2))
     order = np.lexsort((doc, key2, key))
     k, k2 = key[order], key2[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (k[1:] != k[:-1]) | (k2[1:] != k2[:-1])
-    best = doc[order][new][np.cumsum(new) - 1]
-    out = np.empty(len(order), dtype=np.int64)
-    out[order] = best
-    a = 0
-    for gid, p in zip(gids, parts, strict=True):
-        yield gid, out[a : a + len(p[0])]
-        a += len(p[0])
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-    gids, parts = gathered(table)
-    rows = []
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return place, [k[new], k2[new], doc[order][new]]
+
+
+def _cut(kind: str, folded, a: int, b: int):
+    if kind == "word":
+        at = np.concatenate(([0], np.cumsum(folded[1])))
+        return [folded[0][a:b], folded[1][a:b], folded[2][at[a] : at[b]]]
+    return [x[a:b] for x in folded]
+
+
+def _answer(kind: str, folded):
     if kind == "mark":
-        mark, code = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        names, inverse = np.unique(mark, return_inverse=True)
-        lo, hi = np.full(len(names), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(names), np.uint64)
-        np.minimum.at(lo, inverse, code)
-        np.maximum.at(hi, inverse, code)
-        several = ((lo != hi) | (lo == 0))[inverse].astype(np.uint8)
-        a = 0
-        for gid, p in zip(gids, parts, strict=True):
-            rows.append((kind, bucket, gid, pack_arrays(several[a : a + len(p[0])])))
-            a += len(p[0])
-    else:
-        rows = [(kind, bucket, gid, pack_arrays(best)) for gid, best in _least(gids, parts, 2)]
-    return pa.Table.from_batches([rows_table(rows)])
+        return [(folded[1] == 0).astype(np.uint8)], []
+    if kind == "collided":
+        return [np.ones(1, np.int64)], [("collided", [np.ones(1, np.int64)])]
+    if kind == "word":
+        return [np.zeros(len(folded[0]), np.uint8)], [("collided", [np.array([int((folded[0][1:] == folded[0][:-1]).sum())])])]
+    return [folded[2]], []
 
 
-def _answer(requests: DataFrame, name: str) -> DataFrame:
-    return materialise(requests.groupBy("kind", "bucket").applyInArrow(_merge, ANSWER), name)
+def _collided(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([int(unpack_arrays(x)[0][0]) for x in batch.column("blob").to_pylist()], pa.int64())], names=["n"])
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept text's words in text, for each row of docs."""
     packed = pack_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block_bytes)
-    buckets = max(1, packed.count())
-
-    def ask(batches):
-        for gid, block in blocks_of(batches):
-            s = Segments(block, window)
-            pick, _ = s.distinct()
-            rows = list(request_rows("segment", gid, s.key[pick], buckets, s.key2[pick], s.doc[pick]))
-            marks, code, _ = s.marks()
-            rows += list(request_rows("mark", gid, marks, buckets, code))
-            if rows:
-                yield rows_table(rows)
-
-    first = _answer(packed.mapInArrow(ask, REQUEST), "repeat-segments")
+    exchange = Exchange(max(1, packed.count()), fan)
+
+    def ask(seed: int):
+        def run(batches):
+            for gid, block in blocks_of(batches):
+                s = Segments(block, window, seed)
+                pick, _ = s.distinct()
+                rows = list(exchange.request_rows("segment", gid, s.key[pick], s.key2[pick], s.doc[pick]))
+                marks, code, _ = s.marks()
+                rows += list(exchange.request_rows("mark", gid, marks, code))
+                names, size, raw, clash = s.words.distinct()
+                at = np.concatenate(([0], np.cumsum(size)))
+                rows += [("word", node, gid, pack_arrays(names[a:b], size[a:b], raw[at[a] : at[b]])) for node, a, b in exchange.first(gid, names)]
+                if clash:
+                    rows.append(("collided", 0, gid, pack_arrays(np.zeros(1, np.uint64))))
+                if rows:
+                    yield rows_table(rows)
+
+        return run
+
+    for seed in range(SEEDS):
+        asked = packed.mapInArrow(ask(seed), REQUEST)
+        first = exchange.answers(asked, _fold, _answer, _cut, "repeat-segments")
+        if not (first.filter("kind = 'collided'").mapInArrow(_collided, "n long").agg(F.sum("n")).first()[0] or 0):
+            break
+    else:
+        raise RuntimeError("words share names under all seeds")
+    first = first.filter("kind in ('segment', 'mark')")
 
     def known(s: Segments, table: pa.Table):
         keeper = joined(answers_of(table, "segment"), 0, np.int64)
@@ -259,15 +293,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = BL
         return np.flatnonzero(new), np.cumsum(new) - 1
 
     def ask_windows(gid, block, table):
-        s = Segments(block, window)
+        s = Segments(block, window, seed)
         _, doc, key, key2 = windows(s, *known(s, table))
         pick, _ = folded(doc, key, key2)
-        yield rows_table(list(request_rows("window", gid, key[pick], buckets, key2[pick], doc[pick])))
+        yield rows_table(list(exchange.request_rows("window", gid, key[pick], key2[pick], doc[pick])))
 
-    second = _answer(per_block(packed, first, ask_windows, REQUEST), "repeat-windows")
+    second = exchange.answers(per_block(packed, first, ask_windows, REQUEST), _fold, _answer, _cut, "repeat-windows")
 
     def result(gid, block, table):
-        s = Segments(block, window)
+        s = Segments(block, window, seed)
         keeper, several = known(s, table)
         n = len(s.words.hash)
         edge = np.zeros(n + 1, dtype=np.int64)
