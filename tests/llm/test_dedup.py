@@ -139,6 +139,33 @@ def test_substring(docs, w, block, request):
     assert bag(substring_dedup.substring_dedup(df, w, block), *SUB) == brute_substring(texts(df), w)
 
 
+def test_substring_levels(small_docs):
+    """Few receivers for many blocks: keys and answers travel in several levels."""
+    assert bag(substring_dedup.substring_dedup(small_docs, 50, 1 << 14, fan=3), *SUB) == brute_substring(texts(small_docs), 50)
+
+
+def test_words_that_share_a_name(monkeypatch):
+    """Two words under one name are found, in a block and between blocks, and at any level."""
+    import numpy as np
+
+    from veilspark.llm import blocks, common
+
+    part = lambda *pairs: [np.array([h for h, _ in pairs], np.uint64), np.array([len(w) for _, w in pairs]), np.frombuffer(b"".join(w for _, w in pairs), np.uint8)]
+    one, two, three = part((5, b"ab"), (9, b"c")), part((5, b"ab"), (7, b"d")), part((5, b"xyz"), (9, b"c"))
+    for parts, clashes in (([one, two], 0), ([one, two, three], 1)):
+        place, folded = substring_dedup._fold("word", parts)
+        assert substring_dedup._answer("word", folded)[1][0][1][0].tolist() == [clashes]
+        assert len(place) == sum(len(p[0]) for p in parts)
+        again = substring_dedup._fold("word", [substring_dedup._cut("word", folded, 0, 2), substring_dedup._cut("word", folded, 2, len(folded[0]))])[1]
+        assert all((x == y).all() for x, y in zip(again, folded, strict=True))
+    column = common.pa.array(["one two one", "two three four"])
+    assert not common.Words(column).distinct()[3]
+    assert common.Words(column, seed=1).hash[0] != common.Words(column).hash[0]
+    monkeypatch.setattr(common, "word_hashes", lambda raw, a, b, step=0, seed=0: common.mix((b - a).astype("uint64")))
+    assert common.Words(column).distinct()[3]
+    assert blocks.Exchange(300, 256).levels == 2 and blocks.Exchange(256, 256).levels == 1
+
+
 @pytest.mark.parametrize("docs", ["odd_docs", "no_docs", "small_docs"])
 @pytest.mark.parametrize("n", [4, 5])
 def test_near(docs, n, request):
@@ -155,6 +182,29 @@ def test_near_chain_and_hot_group(spark):
     assert bag(near_dedup.near_duplicates(df, 4, 80), *NEAR) == brute_near(rows, 4, 80)
 
 
+def test_near_rows_that_repeat_ids(spark):
+    """One doc_id on two texts: each row is judged by its own text, and no row multiplies."""
+    long = [f"w{i}" for i in range(100)]
+    other = [f"v{i}" for i in range(100)]
+    rows = [(1, " ".join(long)), (5, " ".join(long[:-1])), (5, " ".join(other)), (7, " ".join(other[:-1])), (5, " ".join(other)), (None, " ".join(long))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(df, 4, 80).collect()
+    want = [(1, 97, 1, True), (5, 96, 1, False), (5, 97, 5, True), (7, 96, 5, False), (5, 97, 5, True), (None, 97, None, True)]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_near_open_buckets(spark, monkeypatch):
+    """Buckets of several components are settled in blocks of few members."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for g in range(6):
+        mine = base[:60] + [f"g{g}_{i}" for i in range(14)]
+        rows += [(100 * g + k, " ".join(mine[:k] + [f"x{g}_{k}"] + mine[k:])) for k in range(0, 60, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert bag(near_dedup.near_duplicates(df, 4, 80), *NEAR) == brute_near(rows, 4, 80)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (200, 200)], "a long, b long")
     assert bag(components.components(links, "a", "b"), "node", "component") == Counter([(i, 0) for i in range(1, 31)] + [(101, 100)])

@@ -6,8 +6,8 @@ of the set's exponential draws under seed i, on a scale spaced by powers of BASE
 union are the larger ones, and two registers agree with a probability close to the Jaccard
 similarity.
 
-1. Documents with equal sets (a 128-bit digest of the set) are one class; its smallest doc_id
-   stands for it from here on.
+1. Rows with equal sets (a 128-bit digest of the set) are one class, and only classes go on from
+   here.  At the end rows meet their class by common.join_groups, so copies are never gathered.
 2. The registers are cut in BANDS bands of ROWS; classes that agree in a band share a bucket.
    At a similarity of 0.8 all bands differ with probability (1 - 0.8^ROWS)^BANDS, 4e-7 here.
 3. In each bucket every class pairs with the bucket's smallest one: as many pairs as members.
@@ -15,15 +15,18 @@ similarity.
    likelihood estimate from the registers is too far below it, since step 4 compares them again;
    a bucket of two is settled here, so its pair is never left to the estimate.  The rest is
    verified on the full sets.
-4. Links form components.  In buckets that now hold more than one component, members of
-   different components are compared on their full sets, in blocks of a bounded number of members;
-   of the links found there only those that join components are kept.  So no link that a bucket
-   could show is lost, and copies never expand to all pairs.
+4. Links form components.  In buckets that now hold more than one component, the members outside
+   the bucket's largest one are compared with all members of other components on their full sets;
+   of the links found there only those that join components are kept.  Each task meets at most
+   about BLOCK of the former and BLOCK of the latter, so a bucket of M members with few outside
+   sends M rows for each BLOCK of these.  So no link that a bucket could show is lost, and copies
+   never expand to all pairs.
 
 Defined cases: null, empty or blank text has an empty set, which is linked with nothing, equal
 ones neither; a text with fewer words than a shingle has its whole sequence as its one shingle;
-rows with a null doc_id are scored but linked with nothing; rows repeating a doc_id count as one
-document for links; an empty table gives an empty result; other columns are never read.
+rows with a null doc_id are scored but linked with nothing; each row is judged by its own text, so
+rows that repeat a doc_id with other texts may have other components; an empty table gives an
+empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -33,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialise, mix, read, slices
+from .common import Words, join_groups, materialise, mix, read, slices
 from .components import components
 
 BANDS, ROWS = 28, 4
 REGISTERS = BANDS * ROWS
 BASE = 1.02
 RATE = 20.0
-BLOCK = 512  # members of a bucket that meet in a task: twice this at most
+BLOCK = 512  # members of a bucket on each side that meet in a task, about
 SIGMAS = 4.5
 
 _SEED = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(7919))
@@ -141,12 +144,7 @@ def _sketch(batches, n: int):
             part = batch.slice(a, 1024)
             values, off = shingle_hashes(Words(part.column("text"), lower=True), n)
             sizes = np.diff(off)
-            some = np.flatnonzero(sizes)
-            digest = np.zeros((2, len(sizes)), dtype=np.uint64)
-            if len(some):
-                with np.errstate(over="ignore"):
-                    digest[0, some] = np.add.reduceat(mix(values), off[some])
-                    digest[1, some] = np.add.reduceat(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), off[some])
+            digest = set_digest(values, off)
             k = registers(values, off)
             keys = band_keys(k)
             width = REGISTERS * 2
@@ -163,14 +161,27 @@ def _sketch(batches, n: int):
             )
 
 
+def set_digest(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums over each row's set; 0 for an empty one."""
+    digest = np.zeros((2, len(off) - 1), dtype=np.uint64)
+    some = np.flatnonzero(np.diff(off))
+    if len(some):
+        with np.errstate(over="ignore"):
+            digest[0, some] = np.add.reduceat(mix(values), off[some])
+            digest[1, some] = np.add.reduceat(mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), off[some])
+    return digest
+
+
 def _sets(batches, n: int):
+    """The sets of texts, for those that are of the class that the row asks for."""
     for batch in batches:
         for a in range(0, batch.num_rows, 1024):
             part = batch.slice(a, 1024)
             values, off = shingle_hashes(Words(part.column("text"), lower=True), n)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values.view(np.int64), pa.int64()))], names=["doc_id", "set"]
-            )
+            digest = set_digest(values, off).view(np.int64)
+            mine = (digest[0] == part.column("d1").to_numpy()) & (digest[1] == part.column("d2").to_numpy())
+            sets = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), sets], names=["doc_id", "set"]).filter(pa.array(mine))
 
 
 def _likely(batches, floor: float):
@@ -187,19 +198,18 @@ def _likely(batches, floor: float):
 
 
 def _across(table: pa.Table, percent: int) -> pa.Table:
-    """Of a bucket's members in two blocks: links that join different components, found by counting
-    common shingles exactly.  Links whose ends are joined already are left out."""
-    doc = table["doc"].to_numpy()
-    order = np.argsort(doc, kind="stable")
-    table = table.take(pa.array(order))
-    doc, comp, n = doc[order], table["comp"].to_numpy(), table["n"].to_numpy()
-    bi, bj, side = (table[c].to_numpy() for c in ("bi", "bj", "block"))
+    """Links between outside members (side 0) and others (side 1) of a bucket that join different
+    components, found by counting common shingles exactly.  Links whose ends are joined already are left out."""
+    table = table.take(pa.array(np.lexsort((table["doc"].to_numpy(), table["side"].to_numpy()))))
+    doc, comp, n, top = (table[c].to_numpy() for c in ("doc", "comp", "n", "top"))
+    outside = np.flatnonzero(table["side"].to_numpy() == 0)
     sets = table["set"].combine_chunks()
     off = np.asarray(sets.offsets, dtype=np.int64)
     values = np.asarray(sets.values)[off[0] : off[-1]]
     starts = off[:-1] - off[0]
     ids = np.unique(values, return_inverse=True)[1]
     stop = np.append(starts[1:], len(ids))
+    cut = len(outside)
     flag = np.zeros(int(ids.max(initial=-1)) + 2, dtype=np.int64)
     root = {c: c for c in comp.tolist()}
 
@@ -209,22 +219,20 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
             c = root[c]
         return c
 
-    names, sizes = np.unique(comp, return_counts=True)
-    largest = names[sizes.argmax()]
     out = []
-    for i in np.flatnonzero(comp != largest):
-        other = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-        if bi[i] != bj[i]:
-            other &= side != side[i]
-        # a pair outside the largest component is taken from its smaller document alone
-        other &= (comp == largest) | (doc > doc[i])
+    if cut == len(doc):
+        outside = outside[:0]
+    inner, inner_starts = ids[starts[cut] :] if len(outside) else ids[:0], starts[cut:] - (starts[cut] if len(outside) else 0)
+    for i in outside:
+        # a pair of two outside members is taken from its smaller one alone
+        other = (comp[cut:] != comp[i]) & (100 * np.minimum(n[cut:], n[i]) >= percent * np.maximum(n[cut:], n[i])) & ((comp[cut:] == top[cut:]) | (doc[cut:] > doc[i]))
         if not other.any():
             continue
         mine = ids[starts[i] : stop[i]]
         flag[mine] = 1
-        common = np.add.reduceat(flag[ids], starts)
+        common = np.add.reduceat(flag[inner], inner_starts)
         flag[mine] = 0
-        for j in np.flatnonzero(other & (100 * common >= percent * (n + n[i] - common))):
+        for j in np.flatnonzero(other & (100 * common >= percent * (n[cut:] + n[i] - common))) + cut:
             x, y = find(int(comp[i])), find(int(comp[j]))
             if x != y:
                 root[max(x, y)] = min(x, y)
@@ -232,26 +240,47 @@ def _across(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
+def _open_buckets(buckets: DataFrame, comp: DataFrame, total: int) -> DataFrame:
+    """The members of buckets that hold several components, as _across takes them, but for their sets."""
+    # of two members one is the pivot, and that pair is settled
+    named = buckets.filter("size > 2").join(comp, buckets.doc_id == comp.node, "left").select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    named = materialise(named, "near-named")
+    parts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+    several = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("most"), F.first("size").alias("size")).filter("most < size")
+    several = materialise(several.select("key", "top", F.col("size").alias("members"), (F.col("size") - F.col("most")).alias("outside")), "near-open")
+    rows = join_groups(named.select("key", "doc_id", "comp"), several, ["key"], "members", total)
+    n_out, n_in = F.ceil(F.col("outside") / BLOCK).cast("int"), F.ceil(F.col("members") / BLOCK).cast("int")
+    at = F.xxhash64("doc_id")
+    sides = (
+        (rows.filter("comp != top"), 0, F.pmod(at, n_out).cast("int"), F.explode(F.sequence(F.lit(0), n_in - 1))),
+        (rows, 1, F.explode(F.sequence(F.lit(0), n_out - 1)), F.pmod(at, n_in).cast("int")),
+    )
+    # "bi", "bj": the block of outside members, and of all
+    each = [df.withColumn("bi", bi).withColumn("bj", bj).select("key", "bi", "bj", F.lit(side).alias("side"), "doc_id", "comp", "top") for df, side, bi, bj in sides]
+    return each[0].unionByName(each[1])
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialise(docs.mapInArrow(lambda x: _sketch(x, n), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, regs binary"), "near-sketches")
+    of_class = ["n_shingles", "d1", "d2"]
     some = sketch.filter("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = some.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"]).select("doc_id", "rep").distinct()
-    member = materialise(member, "near-classes")
-    reps = some.join(member.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = materialise(reps.select("doc_id", F.col("n_shingles").alias("n"), "bands", "regs"), "near-reps")
-
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = materialise(rows.join(shared, "key"), "near-buckets")
-    # the full sets of all documents that share a bucket with another
-    wanted = buckets.select("doc_id").distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(lambda x: _sets(x, n), "doc_id long, set array<long>").dropDuplicates(["doc_id"])
+    classes = some.groupBy(*of_class).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("regs").alias("regs"))
+    # a class is a document from here on, under a number of its own
+    classes = materialise(classes.withColumn("doc_id", F.monotonically_increasing_id()), "near-classes")
+    total, n_classes = classes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count(F.lit(1))).first()
+
+    rows = classes.select("doc_id", F.explode("bands").alias("key"))
+    shared = materialise(rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-shared")
+    buckets = materialise(join_groups(rows, shared, ["key"], "size", n_classes * BANDS), "near-buckets")
+    # the full sets of all classes that share a bucket with another
+    wanted = buckets.select("doc_id").distinct().join(classes.select("doc_id", "rep", "d1", "d2"), "doc_id")
+    sets = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep").select("doc_id", "d1", "d2", "text")
+    sets = sets.mapInArrow(lambda x: _sets(x, n), "doc_id long, set array<long>").dropDuplicates(["doc_id"])
     sets = materialise(sets, "near-sets")
 
-    info = reps.select("doc_id", "n", "regs")
+    info = classes.select("doc_id", F.col("n_shingles").alias("n"), "regs")
     pairs = buckets.filter("doc_id != pivot").groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).agg((F.min("size") == 2).alias("final"))
     pairs = pairs.join(info.toDF("b", "nb", "rb"), "b").join(info.toDF("a", "na", "ra"), "a")
     pairs = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
@@ -260,15 +289,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     links = materialise(both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"), "near-links")
     comp = materialise(components(links, "a", "b"), "near-components")
 
-    # buckets that still hold several components; of two members one is the pivot, and that pair is settled
-    named = buckets.filter("size > 2").join(comp, buckets.doc_id == comp.node, "left").select("key", "size", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    named = materialise(named, "near-named")
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    nb = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = named.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), nb).cast("int"))
-    members = members.withColumn("j", F.explode(F.sequence(F.lit(0), nb - 1)))
-    members = members.withColumn("bi", F.least("block", "j")).withColumn("bj", F.greatest("block", "j"))
-    members = members.join(sets, "doc_id").select("key", "bi", "bj", "block", F.col("doc_id").alias("doc"), "comp", F.size("set").cast("long").alias("n"), "set")
+    members = _open_buckets(buckets, comp, n_classes * BANDS).join(sets, "doc_id")
+    members = members.select("key", "bi", "bj", "side", F.col("doc_id").alias("doc"), "comp", "top", F.size("set").cast("long").alias("n"), "set")
 
     def across(table):
         return _across(table, percent)
@@ -276,9 +298,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     more = materialise(members.groupBy("key", "bi", "bj").applyInArrow(across, "a long, b long").distinct(), "near-across")
     if not more.isEmpty():
         comp = materialise(components(links.unionByName(more), "a", "b"), "near-components")
-    out = sketch.select("doc_id", "n_shingles").join(member, "doc_id", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    whole = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", whole.alias("component_id"), F.col("doc_id").eqNullSafe(whole).alias("kept"))
+    # back to rows: each class's component, named by its smallest doc_id
+    named = classes.select("doc_id", "rep", "rows", *of_class).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("component", "doc_id"))
+    named = materialise(named.drop("component"), "near-roots")
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    named = join_groups(named, least, ["root"], "classes", n_classes).select(*of_class, "rows", "component_id")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    found = join_groups(some.select("doc_id", *of_class), named, of_class, "rows", total).select("doc_id", "n_shingles", "component_id", kept)
+    alone = sketch.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return found.unionByName(alone)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
