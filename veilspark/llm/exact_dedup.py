@@ -101,14 +101,14 @@ def repeats_filter(run: DataFrame, repeated: int, most_bits: int = FILTER_BITS)
     n = BITMAP
     while n < min(16 * repeated, most_bits):
         n *= 2
-    place = F.pmod(F.xxhash64("digest"), F.lit(n))
+    place = F.xxhash64("digest").bitwiseAND(n - 1)
     marks = run.filter("size > 1").select(F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(BITMAP - 1).alias("bit"))
     return n, materialise(marks.groupBy("bucket").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")), "digest-filter")
 
 
 def probe(rows: DataFrame, n: int, bitmaps: DataFrame) -> DataFrame:
     """The rows whose digest may be one of the filter's; bitmaps hold n bits at most, which bounds the broadcast."""
-    place = F.pmod(F.xxhash64("digest"), F.lit(n))
+    place = F.xxhash64("digest").bitwiseAND(n - 1)
     rows = rows.withColumn("bucket", F.shiftright(place, 15)).withColumn("bit", place.bitwiseAND(BITMAP - 1))
     byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("long")
     met = rows.join(F.broadcast(bitmaps), "bucket").withColumn("byte", byte).filter(F.expr("bit_get(byte, cast(bit % 8 as int)) = 1"))
