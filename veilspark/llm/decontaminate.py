@@ -6,8 +6,8 @@ least t = m + 1 - q * (k + 1) of its q-grams, all within k + 1 neighbouring diag
 text the q-grams that it has in common with any item are counted in diagonal bands of twice that
 width that overlap by half, so each such place lies whole in some band; bands that reach t are
 kept, neighbours are joined, and a banded alignment decides whether the item is there within k
-edits.  Items too short for the lemma (t < 1) are looked for as they stand or, if k > 0, aligned
-with each text that has one of their k + 1 pieces.
+edits.  Items too short for the lemma (t < 1) are looked for as they stand, as whole words, or, if k > 0,
+aligned with each text that has one of their k + 1 pieces.
 
 An excerpt counts as well: any part of e = ceil(2/3 m) neighbouring characters of the item, where e
 is at least EXCERPT_LEAST, that occurs with at most floor(RATE * e) edits.  The lemma holds for
@@ -132,46 +132,65 @@ class Index:
         return out
 
 
-def banded_distance(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int]:
+def banded_distance(item: np.ndarray, text: np.ndarray, k: int, low: int | None = None, high: int | None = None) -> tuple[int, int]:
     """Least edits (at most k, else k + 1) that turn item into some part of text, and that part's end.
 
-    Rows are the item's characters; the band is the whole text, which the caller has cut to the
-    region's diagonals, and rows whose best value exceeds k end the work.
+    Only the diagonals low to high (text place less item place; by default all) and k more on either
+    side are filled, since k edits leave a path within k diagonals of where it begins.  Each row is
+    one character of the item; a row whose best value exceeds k ends the work.
     """
-    n = len(text)
-    ramp = np.arange(n + 1, dtype=np.int32)
-    row = np.zeros(n + 1, dtype=np.int32)
-    for ch in item:
-        step = np.empty(n + 1, dtype=np.int32)
-        step[0] = row[0] + 1
-        np.minimum(row[:-1] + (text != ch), row[1:] + 1, out=step[1:])
-        row = np.minimum.accumulate(step - ramp) + ramp
-        if int(row.min()) > k:
-            return k + 1, 0
-    end = int(row.argmin())
-    return int(row[end]), end
-
-
-def excerpt_distance(item: np.ndarray, text: np.ndarray, size: int, k: int) -> tuple[int, int]:
+    d, end, _ = _banded(item, np.zeros(1, np.int64), len(item), text, k, low, high)
+    return d, end
+
+
+def excerpt_distance(item: np.ndarray, text: np.ndarray, size: int, k: int, low: int | None = None, high: int | None = None) -> tuple[int, int]:
     """Least edits (at most k, else k + 1) that turn some size characters of item into some part of text,
-    and that part's end; the first end among equals."""
-    n = len(text)
-    ramp = np.arange(n + 1, dtype=np.int32)
-    at = np.arange(len(item) - size + 1)
-    row = np.zeros((len(at), n + 1), dtype=np.int32)
+    and that part's end; the first end among equals.  As banded_distance, for all parts at once."""
+    d, end, _ = _banded(item, np.arange(len(item) - size + 1), size, text, k, low, high)
+    return d, end
+
+
+def _banded(item, at, size, text, k, low, high):
+    n, m = len(text), len(item)
+    low, high = (-m if low is None else low) - k, (n if high is None else high) + k
+    low, high = max(low, -m), min(high, n)
+    far = np.int32(1 << 20)
+    if high < low:
+        return k + 1, 0, 0
+    width = high - low + 1
+    ramp = np.arange(width, dtype=np.int32)
+    place = at[:, None] + low + np.arange(width)[None, :]  # text characters before the cell, in row 0
+    padded = np.concatenate((text, np.full(1, 0xFFFFFFFF, dtype=text.dtype)))
+    row = np.where((place >= 0) & (place <= n), np.int32(0), far)
     for i in range(size):
-        step = np.empty_like(row)
-        step[:, 0] = row[:, 0] + 1
-        np.minimum(row[:, :-1] + (text[None, :] != item[at + i][:, None]), row[:, 1:] + 1, out=step[:, 1:])
+        # cell c of the next row ends at place + i + 1; its diagonal neighbour is cell c of this row, its upper one cell c + 1
+        seen = place + i
+        inside = (seen >= 0) & (seen < n)
+        char = padded[np.where(inside, seen, n)]
+        step = np.where(inside, row + (char != item[at + i][:, None]), far)
+        np.minimum(step[:, :-1], row[:, 1:] + 1, out=step[:, :-1])
+        step[(seen + 1 < 0) | (seen + 1 > n)] = far
         row = np.minimum.accumulate(step - ramp, axis=1) + ramp
+        row[(seen + 1 < 0) | (seen + 1 > n)] = far
         alive = row.min(axis=1) <= k
         if not alive.all():
-            row, at = row[alive], at[alive]
+            row, at, place = row[alive], at[alive], place[alive]
             if not len(at):
-                return k + 1, 0
-    least = row.min(axis=0)
-    end = int(least.argmin())
-    return int(least[end]), end
+                return k + 1, 0, 0
+    least = int(row.min())
+    ends = (place + size)[row == least]
+    return least, int(ends.min()), int(at[0])
+
+
+def find_word(text: str, item: str) -> int:
+    """The first place where item stands in text and no word runs on past either end of it; -1 for none."""
+    at = text.find(item)
+    while at >= 0:
+        end = at + len(item)
+        if not (at and item[0].isalnum() and text[at - 1].isalnum()) and not (end < len(text) and item[-1].isalnum() and text[end].isalnum()):
+            return at
+        at = text.find(item, at + 1)
+    return -1
 
 
 def find_items(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int]]:
@@ -183,7 +202,7 @@ def find_items(texts: list[str | None], index: Index) -> list[tuple[int, int, in
         cuts = [len(item) * x // (k + 1) for x in range(k + 2)]
         pieces = [item[x:y] for x, y in zip(cuts, cuts[1:])]
         for r, t in enumerate(folded):
-            at = t.find(item) if t else -1
+            at = find_word(t, item) if t else -1
             if at >= 0:
                 out[r, j] = (0, 0, at + len(item))
             elif k and t and any(x in t for x in pieces):  # k edits leave one of k + 1 pieces whole
@@ -199,7 +218,7 @@ def find_items(texts: list[str | None], index: Index) -> list[tuple[int, int, in
             b += 1
         c = codes("\x00".join(folded[a:b]) + "\x00")
         ends = np.cumsum([len(x) + 1 for x in folded[a:b]])
-        parts: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        parts: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
         for j, low, high, can in sorted(set(index.regions(c, ends))):
             k, m = int(index.k[j]), int(index.m[j])
             if j not in item_codes:
@@ -210,26 +229,26 @@ def find_items(texts: list[str | None], index: Index) -> list[tuple[int, int, in
                 left = int(ends[r - 1]) if r else 0
                 s, e = max(begin, left), min(stop, int(ends[r]) - 1)
                 if can and e - s >= m - k:
-                    d, end = banded_distance(item_codes[j], c[s:e], k)
+                    d, end = banded_distance(item_codes[j], c[s:e], k, low - s, high - s)
                     if d <= k:
                         best = (0, d, s - left + end)
                         if (a + r, j) not in out or best < out[a + r, j]:
                             out[a + r, j] = best
                 if index.part[j]:
                     spans = parts.setdefault((r, j), [])
-                    if spans and s <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
+                    if spans and low <= spans[-1][3] + 1:
+                        spans[-1] = (spans[-1][0], max(e, spans[-1][1]), spans[-1][2], max(high, spans[-1][3]))
                     else:
-                        spans.append((s, e))
+                        spans.append((s, e, low, high))
         # excerpts, where the item as a whole is not in the text
         for (r, j), spans in parts.items():
             if (a + r, j) in out:
                 continue
             left, part, k = int(ends[r - 1]) if r else 0, int(index.part[j]), int(index.part_k[j])
-            for s, e in spans:
+            for s, e, low, high in spans:
                 if e - s < part - k:
                     continue
-                d, end = excerpt_distance(item_codes[j], c[s:e], part, k)
+                d, end = excerpt_distance(item_codes[j], c[s:e], part, k, low - s, high - s)
                 if d <= k:
                     best = (1, d, s - left + end)
                     if (a + r, j) not in out or best < out[a + r, j]:
