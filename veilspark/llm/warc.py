@@ -1,6 +1,7 @@
 """WARC archives: a writer that stores equal payloads once, and a salvage reader.
 
-Writer: pages meet the smallest page_id of their payload's digest by a join; each task then
+Writer: pages meet the smallest page_id of their payload's SHA-256 by a join (SHA-1, which the
+records state, can be made to collide); each task then
 writes its records, each a gzip member of its own, into archives of about ARCHIVE_BYTES in the
 shared folder.  An archive gets its final name only when complete, and a task that runs again
 writes the same names, so lost executors leave nothing half done.
@@ -8,7 +9,7 @@ writes the same names, so lost executors leave nothing half done.
 Reader: archives are cut into members of one or more records; a member must inflate with its
 checksum, and a record begin with a version line, hold as many bytes as its header says and agree
 with its block digest.  After a
-failed check the reader searches for the next member (or version line, in plain archives) that
+failed check the reader searches for the next member or version line (an archive may hold both) that
 passes, recovers the records from there on, and reports the bytes in between as a quarantined gap.
 Inside a member it goes on at the next version line of the inflated bytes; such a gap has the
 member's bytes, and its reason names the inflated ones.  Of a member that does not inflate to its
@@ -40,6 +41,10 @@ MIN_BYTES = 0
 DATE = "1970-01-01T00:00:00Z"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+_HEADER_END = re.compile(rb"\r?\n\r?\n")
+_RECORD_END = re.compile(rb"\r?\n\r?\n")
+#: Where a record may begin: a member, or a version line.
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
 
 
 def base32_sha1(data: bytes) -> str:
@@ -86,20 +91,21 @@ def parse_record(data: bytes, pos: int = 0) -> tuple[dict, int]:
     m = _VERSION.match(data, pos)
     if not m:
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n", pos)
-    if end < 0:
+    stop_line = _HEADER_END.search(data, m.end() - 1)
+    if not stop_line:
         raise ValueError("header does not end")
-    head = {}
-    for line in data[m.end() : end].split(b"\r\n"):
+    end, head = stop_line.start(), {}
+    for line in data[m.end() : max(end, m.end())].splitlines():
         k, colon, v = line.partition(b":")
         if not colon:
             raise ValueError("header line without a colon")
-        head[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "surrogatepass")
+        head[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
     if not head.get("content-length", "").isdigit():
         raise ValueError("no length")
-    begin = end + 4
+    begin = stop_line.end()
     stop = begin + int(head["content-length"])
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    tail = _RECORD_END.match(data, stop)
+    if not tail:
         raise ValueError("record cut short")
     block = data[begin:stop]
     want = head.get("warc-block-digest", "")
@@ -108,7 +114,7 @@ def parse_record(data: bytes, pos: int = 0) -> tuple[dict, int]:
     http, _, payload = block.partition(b"\r\n\r\n")
     if head.get("warc-type") == "response" and head.get("warc-payload-digest", "").startswith("sha1:") and head["warc-payload-digest"][5:] != base32_sha1(payload):
         raise ValueError("payload digest differs")
-    return {"head": head, "payload": payload}, stop + 4
+    return {"head": head, "payload": payload}, tail.end()
 
 
 def _inflate(view: memoryview, pos: int) -> tuple[bytes, int, str]:
@@ -169,13 +175,12 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
     """The valid records of an archive, in order, and the quarantined gaps (begin, end, reason)."""
     records, gaps, view = [], [], memoryview(data)
     pos, gap, reason = 0, None, ""
-    packed = data[:2] == _MAGIC[:2] or (not _VERSION.match(data) and 0 <= data.find(_MAGIC) < (data.find(b"WARC/1.") if b"WARC/1." in data else len(data)))
     while pos < len(data):
         bad, inside = "", []
         try:
-            if packed:
-                if data[pos : pos + 3] != _MAGIC:
-                    raise ValueError("no member here")
+            if not _START.match(data, pos):
+                raise ValueError("no member or record here")
+            if data[pos : pos + 3] == _MAGIC:
                 inner, after, bad = _inflate(view, pos)
                 got, inside = _inner(inner, bad)
                 if not got and (bad or inside):
@@ -186,13 +191,8 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
         except ValueError as e:
             if gap is None:
                 gap, reason = pos, str(e)
-            if packed:
-                pos = data.find(_MAGIC, pos + 1)
-            else:
-                m = _VERSION.search(data, pos + 1)
-                pos = m.start() if m else -1
-            if pos < 0:
-                pos = len(data)
+            m = _START.search(data, pos + 1)
+            pos = m.start() if m else len(data)
             continue
         if gap is not None:
             gaps.append((gap, pos, reason))
@@ -201,8 +201,9 @@ def salvage(data: bytes) -> tuple[list[dict], list[tuple[int, int, str]]]:
         gaps += [(pos, after, f"{why} (inflated bytes {x} to {y} of the member)") for x, y, why in inside if not bad]
         if bad:  # it ends where the next member that passes begins
             gap, reason = pos, "; ".join([f"{bad} (after {len(inner)} inflated bytes)", *(f"{why} (inflated bytes {x} to {y})" for x, y, why in inside)])
-            after = data.find(_MAGIC, pos + 1)
-        pos = after if after >= 0 else len(data)
+            m = _START.search(data, pos + 1)
+            after = m.start() if m else len(data)
+        pos = after
     if gap is not None:
         gaps.append((gap, len(data), reason))
     return records, gaps
@@ -221,7 +222,7 @@ def _store(folder: str):
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes all pages; the manifest: archive, n_records, n_bytes."""
-    pages = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("sha", F.unhex(F.sha1(F.col("html"))))
+    pages = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("sha", F.unhex(F.sha2(F.col("html"), 256)))
     first = pages.groupBy("sha").agg(F.min("page_id").alias("first_id"))
     rows = pages.join(first, "sha").sortWithinPartitions("page_id", "sha")
 
