@@ -4,9 +4,11 @@ expressions evaluated by a shunting-yard parser.
 Words: A-Z lower-cased, then maximal runs of letters, digits and all non-ASCII characters.  A
 phrase is found where its words stand consecutively, whatever stands between them.  Identifier
 tags (the machine-readable one-line form) are found in the same pass; the expression behind a tag
-is parsed with precedence with > and > or, and gives the set of licences that a reader must keep
-to in the least demanding reading: "or" offers its left-most choice's family and its alternatives
-alike as labels, "and" adds up, "with" keeps its left side and notes the exception.
+is parsed with precedence with > and > or, and evaluated to the licences that a reader must keep to
+in its least demanding reading: "or" takes the side that asks less (by DEMAND, the strictest of
+each side's licences; the left one of equals), "and" takes both, "with" keeps its left side and notes
+the exception.  These licences give labels.  An expression has one value, however many choices it
+offers, so its size is bounded by the text's.
 
 Defined cases: null or empty text has no words, no places, empty labels, score 0; the same phrase
 found again counts again; overlapping phrases all count; a tag whose expression does not parse
@@ -91,24 +93,33 @@ def to_postfix(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
-def evaluate(expression: str) -> tuple[list[list[str]], bool]:
-    """The choices that an expression offers, each a sorted list of identifiers, and whether it parses."""
+#: How much a family asks for, from nothing (0) to passing on the whole work's source over a network (5); others count as 3.
+DEMAND = {
+    "cc0": 0, "unlicense": 0, "mit": 1, "bsd": 1, "isc": 1, "zlib": 1, "bsl": 1, "apache": 1, "cc-by": 1, "artistic": 2, "mpl": 2, "epl": 2,
+    "lgpl": 3, "cc-by-sa": 3, "cc-by-nc": 4, "cc-by-nd": 4, "cc-by-nc-sa": 4, "cc-by-nc-nd": 4, "gpl": 4, "agpl": 5,
+}
+
+
+def evaluate(expression: str) -> tuple[list[str], bool]:
+    """The licences that an expression asks for, sorted, and whether it parses; all its identifiers if not."""
     postfix = to_postfix(expression)
     if postfix is None:
-        return [sorted({t for t in _TOKEN.findall(expression) if t not in "()" and t.lower() not in _RANK})], False
-    stack: list[set[frozenset[str]]] = []
+        return sorted({t for t in _TOKEN.findall(expression) if t not in "()" and t.lower() not in _RANK}), False
+    stack: list[tuple[int, dict[str, None]]] = []
     for token in postfix:
-        if token in _RANK:
-            right, left = stack.pop(), stack.pop()
-            if token == "or":
-                stack.append(left | right)
-            elif token == "and":
-                stack.append({a | b for a in left for b in right} if len(left) * len(right) <= 4096 else {frozenset().union(*left, *right)})
-            else:
-                stack.append({frozenset(f"{x} WITH {e}" for x in a for b in right for e in b) for a in left})
+        if token not in _RANK:
+            stack.append((DEMAND.get(family(token), 3), {token: None}))
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "or":
+            stack.append(left if left[0] <= right[0] else right)
+        elif token == "and":
+            big, small = (left[1], right[1]) if len(left[1]) >= len(right[1]) else (right[1], left[1])
+            big.update(small)
+            stack.append((max(left[0], right[0]), big))
         else:
-            stack.append({frozenset([token])})
-    return sorted(sorted(x) for x in stack[0]), True
+            stack.append((left[0], {f"{x} WITH {e}": None for x in left[1] for e in right[1]}))
+    return sorted(stack[0][1]), True
 
 
 def automaton():
@@ -159,9 +170,9 @@ def scan_text(text: str | None, auto) -> dict:
     out["places"] = places
     if tagged:
         for expression in tag_expressions(text):
-            choices, good = evaluate(expression)
-            out["expressions"].append((expression, choices, good))
-            out["labels"].update(x for c in choices for i in c if (x := family(i)))
+            asked, good = evaluate(expression)
+            out["expressions"].append((expression, asked, good))
+            out["labels"].update(x for i in asked if (x := family(i.split(" WITH ")[0])))
     return out
 
 
