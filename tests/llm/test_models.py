@@ -104,6 +104,34 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r.predicted for r in good) / len(good) > 0.9
 
 
+def test_quality_features_and_score_against_a_plain_scorer(small_docs):
+    """Features and scores over again, one by one, for whole texts of all scripts."""
+    import numpy as np
+
+    from veilspark.llm.common import Words
+
+    texts = [r.text for r in small_docs.select("text").limit(40).collect()] + ["", None, "é東 a", "aa aa 東東東東", "\U0001f600x\U0001f600y"]
+    column = quality.pa.array(texts)
+    model = quality.Model(np.random.default_rng(1).normal(size=quality.TOTAL), 0.25)
+    got = model.score(column)
+    for text, score in zip(texts, got, strict=True):
+        bag = Counter()
+        words = WORD.findall(text or "")
+        hashes = Words(quality.pa.array([text], quality.pa.string())).hash.tolist()
+        assert len(hashes) == len(words)
+        bag.update(h % quality.BUCKETS for h in hashes)
+        bag[quality.TOTAL - 1] += sum(a == b for a, b in zip(words, words[1:], strict=False))
+        for n in quality.GRAMS:
+            for i in range(len(text or "") - n + 1):
+                key = n * 40503
+                for ch in text[i : i + n]:
+                    key = ((key ^ int.from_bytes(ch.encode(), "big")) * 2654435761) & 0xFFFFFFFF
+                    key ^= key >> 15
+                bag[quality.BUCKETS + ((key * 2246822519 & 0xFFFFFFFF) >> 18)] += 1
+        z = sum(model.weight[b] * k for b, k in bag.items()) / max(sum(bag.values()), 1) + 0.25
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
 def test_quality_odd_cases(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.fit(odd_docs, none)

@@ -4,7 +4,7 @@ with a softmax output, trained by stochastic gradient descent in numpy.
 Training reads at most SAMPLE labelled documents (those whose xxhash64 of doc_id comes first
 among the labelled rows that may be learned from); all documents are scored, over their whole
 text.  Features: each word, hashed to the first half of the buckets, and each run of 3 and of 4
-bytes inside a text, hashed to the second half; a word equal to the one before it (a word bigram
+characters inside a text, hashed to the second half; a word equal to the one before it (a word bigram
 of that kind) has a bucket of its own.  Case and symbols stay, since shouting and symbol
 junk show there.  A text's vector is the mean of its features' vectors; as the output has two
 classes, a bucket's vector counts only through its product with the difference of the two output
@@ -12,7 +12,7 @@ rows, so scoring gathers one number for each feature and takes the mean.
 
 Defined cases: null or empty text has no features and gets the score of the output bias alone;
 rows with null quality or null doc_id are not learned from; several labels of one document count
-each; without labels of both classes the score is the smoothed share of label 1 for every text;
+each, and of rows that repeat its doc_id the first text is learned from; without labels of both classes the score is the smoothed share of label 1 for every text;
 an empty table gives an empty result; other columns are never read.
 """
 
@@ -32,22 +32,36 @@ GRAMS = (3, 4)
 #: Two halves, and one bucket for a word that repeats the word before it.
 TOTAL = 2 * BUCKETS + 1
 THRESHOLD = 0.3
-
-
-def gram_features(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each run of n bytes inside a row, and the row of each."""
-    size = len(raw) - n + 1
+#: The table's step is so many times the output's: a feature's gradient is its small share of the document.
+TABLE_RATE = 32.0
+
+
+def characters(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character of UTF-8 rows (its bytes, one after the other), and the rows' offsets in them."""
+    lead = (raw & 0xC0) != 0x80
+    starts = np.flatnonzero(lead)
+    before = np.concatenate(([0], np.cumsum(lead)))
+    size = np.diff(np.append(starts, len(raw)))
+    code = raw[starts].astype(np.uint32)
+    for j in range(1, 4):
+        more = np.flatnonzero(size > j)
+        code[more] = (code[more] << np.uint32(8)) | raw[starts[more] + j]
+    return code, before[off]
+
+
+def gram_features(code: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each run of n characters inside a row, and the row of each."""
+    size = len(code) - n + 1
     if size <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    packed = np.zeros(size, dtype=np.uint32)
-    for i in range(n):
-        packed = (packed << np.uint32(8)) | raw[i : i + size].astype(np.uint32)
-    lengths = np.diff(off)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    good = row[:size] == row[n - 1 : n - 1 + size]
     with np.errstate(over="ignore"):
-        key = packed * np.uint32(2654435761) + np.uint32(n * 40503)
-        key = (key ^ (key >> np.uint32(15))) * np.uint32(2246822519)
+        key = np.full(size, n * 40503, dtype=np.uint32)
+        for i in range(n):
+            key = (key ^ code[i : i + size]) * np.uint32(2654435761)
+            key ^= key >> np.uint32(15)
+        key *= np.uint32(2246822519)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    good = row[:size] == row[n - 1 : n - 1 + size]
     bucket = BUCKETS + (key >> np.uint32(18)).astype(np.int64)
     return bucket[good], row[:size][good]
 
@@ -61,8 +75,9 @@ def features(column):
     again = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (row[1:] == row[:-1])) + 1
     yield np.full(len(again), TOTAL - 1, dtype=np.int64), row[again]
     for a, b in slices(w.off, 1 << 20):
+        code, at = characters(w.raw[w.off[a] : w.off[b]], w.off[a : b + 1] - w.off[a])
         for n in GRAMS:
-            bucket, row = gram_features(w.raw[w.off[a] : w.off[b]], w.off[a : b + 1] - w.off[a], n)
+            bucket, row = gram_features(code, at, n)
             yield bucket, row + a
 
 
@@ -126,8 +141,7 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 8, rate:
             out -= lr * np.outer(p, hidden)
             bias -= lr * 0.1 * p
             if len(idx):
-                # averaged features get the document's whole gradient, in proportion to their root share
-                table[idx] -= lr * np.sqrt(share)[:, None] * back
+                table[idx] -= lr * TABLE_RATE * share[:, None] * back
     return Model(table @ (out[1] - out[0]), bias[1] - bias[0])
 
 
@@ -141,7 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMPLE
     if not chosen:
         return train([])
     picked = docs.sparkSession.createDataFrame([(r.doc_id, int(r.quality > 0)) for r in chosen], "doc_id long, quality int")
-    bags = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInArrow(_bags, "doc_id long, quality int, bucket array<int>, n array<int>").toArrow()
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # of rows that repeat an id, one is learned from
+    bags = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").mapInArrow(_bags, "doc_id long, quality int, bucket array<int>, n array<int>").toArrow()
     rows = zip(bags["doc_id"].to_pylist(), bags["quality"].to_pylist(), bags["bucket"], bags["n"], strict=True)
     rows = [(d, q, np.asarray(b.values), np.asarray(n.values)) for d, q, b, n in rows]
     rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
