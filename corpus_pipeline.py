@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents.  Stages judge rows, not identifiers: rows whose doc_id is null or stands on several
-rows are judged and dropped one by one like all others.
+rows are judged and dropped one by one like all others.  Empty tables give empty results; columns
+beyond doc_id, text and source are carried along unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ ORACLE_SQL = None
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    gone = dropped.select(F.col("doc_id").alias("gone_id")).distinct()
+    # written down first: Spark then knows the size of the ids, and broadcasts them only if they are few
+    gone = materialise(dropped.select(F.col("doc_id").alias("gone_id")).distinct(), "stage-gone")
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
@@ -33,7 +35,7 @@ def _drop_rows(docs: DataFrame, judge) -> DataFrame:
     placed = docs.withColumn("row_place", F.monotonically_increasing_id())
     ordered = placed.orderBy(F.col("doc_id").asc_nulls_last(), "row_place").drop("row_place")
     keyed = materialise(ordered.withColumn("row_key", F.monotonically_increasing_id()), "stage-keys")
-    gone = judge(keyed.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("gone_key")).distinct()
+    gone = materialise(judge(keyed.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("gone_key")).distinct(), "stage-gone")
     return keyed.join(gone, keyed["row_key"] == gone["gone_key"], "left_anti").select(*docs.columns)
 
 
