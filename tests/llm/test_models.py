@@ -5,6 +5,8 @@ import re
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from veilspark.llm import interpolation, mixing, quality
@@ -224,3 +226,19 @@ def test_pipeline_judges_rows(spark, tmp_path):
     near = p.near_stage(spark, exact, str(tmp_path))
     assert show(near) == [r for r in show(exact) if r != (None, f"{long} tail")]
     assert show(p.decontamination_stage(spark, near, str(tmp_path))) == [r for r in show(near) if item not in r[1]]
+
+
+def test_quality_scores_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(3)
+    words = ["tree", "Über", "日本", "x", "!!", "river", "river"]
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 5, 40_000, 3, 200_000, 7)] + [None, "y" * (3 * quality.PART + 5)]
+    model = quality.Model(rng.normal(size=quality.TOTAL), 0.2)
+    whole = model.score(pa.array(texts, pa.string()))
+    alone = np.concatenate([model.score(pa.array([t], pa.string())) for t in texts])
+    assert whole.tobytes() == alone.tobytes()
+    for t, got in zip(texts, whole, strict=True):  # n-grams of a long text, cut nowhere
+        bag = Counter(b for bucket, _ in quality.features(pa.array([t], pa.string())) for b in bucket.tolist() if quality.BUCKETS <= b < 2 * quality.BUCKETS)
+        assert sum(bag.values()) == sum(max(len(t or "") - n + 1, 0) for n in quality.GRAMS)
+        codes, off = quality.characters(*quality.flat_bytes(pa.array([t], pa.string())))
+        assert bag == Counter(b for n in quality.GRAMS for b in quality.gram_features(codes, off, n)[0].tolist())
+        assert 0 < got < 1

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, read, remainder, slices
+from .common import Words, flat_bytes, read, remainder, slices
 
 SAMPLE = 2000
 BUCKETS = 1 << 14  # of words, and as many of n-grams
@@ -32,6 +32,8 @@ GRAMS = (3, 4)
 #: Two halves, and one bucket for a word that repeats the word before it.
 TOTAL = 2 * BUCKETS + 1
 THRESHOLD = 0.3
+#: Bytes of text whose features are made at once.
+PART = 1 << 18
 #: The table's step is so many times the output's: a feature's gradient is its small share of the document.
 TABLE_RATE = 32.0
 
@@ -66,6 +68,13 @@ def gram_features(code: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray
     return bucket[good], row[:size][good]
 
 
+def parts(column):
+    """First row and rows of each part of a text column: about PART bytes, one row at least.  It bounds
+    what a worker holds beside its batch by the longest text, not by the batch."""
+    for a, b in slices(flat_bytes(column)[1], PART):
+        yield a, column.slice(a, b - a)
+
+
 def features(column):
     """(bucket, row) of all features of a text column, in parts."""
     w = Words(column)
@@ -74,17 +83,19 @@ def features(column):
     row = np.repeat(np.arange(len(w.off) - 1), w.counts())
     again = np.flatnonzero((w.hash[1:] == w.hash[:-1]) & (row[1:] == row[:-1])) + 1
     yield np.full(len(again), TOTAL - 1, dtype=np.int64), row[again]
-    for a, b in slices(w.off, 1 << 20):
+    for a, b in slices(w.off, PART):
         code, at = characters(w.raw[w.off[a] : w.off[b]], w.off[a : b + 1] - w.off[a])
         for n in GRAMS:
-            bucket, row = gram_features(code, at, n)
-            yield bucket, row + a
+            # a part of more than PART characters is one row, so the cuts fall at the same places of it in any batch
+            for c in range(0, max(len(code) - n + 1, 0), PART):
+                bucket, row = gram_features(code[c : c + PART + n - 1], np.clip(at - c, 0, min(PART + n - 1, len(code) - c)), n)
+                yield bucket, row + a
 
 
 def _bags(batches):
     for batch in batches:
         n = batch.num_rows
-        step = 64
+        step = 8
         for a in range(0, n, step):
             part = batch.slice(a, step)
             m = part.num_rows
@@ -105,11 +116,12 @@ class Model:
         self.weight, self.bias = weight.astype(np.float32), float(bias)
 
     def score(self, column) -> np.ndarray:
-        rows = len(column)
-        total, count = np.zeros(rows), np.zeros(rows)
-        for bucket, row in features(column):
-            total += np.bincount(row, weights=self.weight[bucket], minlength=rows)
-            count += np.bincount(row, minlength=rows)
+        total, count = np.zeros(len(column)), np.zeros(len(column))
+        for first, part in parts(column):
+            rows = slice(first, first + len(part))
+            for bucket, row in features(part):
+                total[rows] += np.bincount(row, weights=self.weight[bucket], minlength=len(part))
+                count[rows] += np.bincount(row, minlength=len(part))
         z = np.clip(total / np.maximum(count, 1) + self.bias, -50, 50)
         return 1 / (1 + np.exp(-z))
 
