@@ -128,3 +128,43 @@ def test_missing_backends(spark):
         if not backends.available(library):
             with pytest.raises(backends.BackendMissing):
                 make(df)
+
+
+MODEL = """
+import re
+from types import SimpleNamespace as N
+
+def load(name):
+    def doc(text):
+        return N(ents=[N(start_char=m.start(), end_char=m.end(), text=m.group(), label_="ORG" if m.group().isupper() else "PERSON") for m in re.finditer(r"[A-Z]\\w+", text)])
+    return N(pipe=lambda texts: map(doc, texts))
+"""
+
+ENCODER = """
+import numpy as np
+
+class SentenceTransformer:
+    def __init__(self, name):
+        pass
+
+    def encode(self, texts, normalize_embeddings):
+        v = np.array([[1.0 + t.count(c) for c in "abc"] for t in texts])
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+"""
+
+
+def test_model_backends_with_stand_ins(spark, tmp_path):
+    """Offsets in code points, the label filter, nulls and similarity, with stand-ins for absent libraries."""
+    for library, code in (("spacy", MODEL), ("sentence_transformers", ENCODER)):
+        if backends.available(library):
+            pytest.skip("the library itself is here")
+        (tmp_path / f"{library}.py").write_text(code)
+        spark.sparkContext.addPyFile(str(tmp_path / f"{library}.py"))
+    df = spark.createDataFrame([(1, "\U0001f600 Anna met NASA and Bo"), (2, None), (3, "")], "id int, text string")
+    got = {r.id: r.persons for r in backends.with_model_persons(df).collect()}
+    assert [tuple(x) for x in got[1]] == [(2, 6, "PERSON", "Anna", 0), (20, 22, "PERSON", "Bo", 2)] and got[2] == got[3] == []
+    found = deidentify.detect(backends.with_model_persons(df), person="persons").filter("id = 1").first().entities
+    assert [(x.type, x.text) for x in found] == [("PERSON", "Anna"), ("PERSON", "Bo")]
+    pairs = spark.createDataFrame([(1, "aab", "aab"), (2, "aaa", "bbb"), (3, None, "")], "id int, text string, sanitized_text string")
+    score = {r.id: r.similarity_score for r in backends.embedding_similarity(pairs).collect()}
+    assert score[1] == pytest.approx(1) and score[2] == pytest.approx(9 / 18) and score[3] == pytest.approx(1)

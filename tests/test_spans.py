@@ -126,3 +126,27 @@ def test_counts_and_baseline(spark):
     assert D.entity_distribution(a.limit(0)).count() == 0
     m = spark.createDataFrame([("relaxed", 0.6867)], "mode string, recall double")
     assert D.against_baseline(m, 0.683).first().improvement_pct == 0.54
+
+
+@pytest.mark.parametrize("mode", ["strict", "relaxed"])
+def test_matches_as_plain_greedy(spark, mode):
+    import random
+
+    rng = random.Random(5)
+
+    def side():
+        return [(a, a + rng.randint(1, 4), rng.choice("PD"), "", 0) for a in (rng.randint(0, 9) for _ in range(rng.randint(0, 12)))]
+
+    def greedy(pred, truth):
+        free, n = list(truth), 0
+        for a, b, kind, *_ in pred:
+            fit = [t for t in free if t[2] == kind and ((t[0], t[1]) == (a, b) if mode == "strict" else a < t[1] and t[0] < b)]
+            if fit:
+                free.remove(fit[0])
+                n += 1
+        return n
+
+    rows = [(k, side(), side()) for k in range(200)]
+    df = spark.createDataFrame(rows, f"id int, pred array<{S.SPAN}>, truth array<{S.SPAN}>")
+    got = {r.id: r.n for r in df.select("id", S.matched(F.col("pred"), F.col("truth"), mode).alias("n")).collect()}
+    assert got == {k: greedy(p, t) for k, p, t in rows}

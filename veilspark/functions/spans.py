@@ -130,17 +130,26 @@ def removal_rate(spans: Column, sanitized: Column) -> Column:
 
 def matched(pred: Column, truth: Column, mode: str) -> Column:
     """Greedy one-to-one matches: each prediction in order takes the first free truth that fits."""
+    if mode == "strict":
+        # fitting is equality there, so any order matches as many: one fold over both sides, sorted together
+        side = lambda spans, k: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["type"].alias("type"), F.lit(k).alias("side")))
+        zero = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit("").alias("type"), F.lit(0).alias("free"), F.lit(0).alias("hits"))
+
+        def step(acc, x):
+            free = F.when((acc["start"] == x["start"]) & (acc["end"] == x["end"]) & (acc["type"] == x["type"]), acc["free"]).otherwise(0)
+            hit = (x["side"] == 1) & (free > 0)
+            left = F.when(x["side"] == 0, free + 1).when(hit, free - 1).otherwise(0)
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["type"].alias("type"), left.alias("free"), (acc["hits"] + hit.cast("int")).alias("hits"))
+
+        return F.aggregate(F.array_sort(F.concat(side(pred, 0), side(truth, 1))), zero, step, lambda acc: acc["hits"])
 
     def fits(p, t):
-        same = p["type"] == t["type"]
-        if mode == "strict":
-            return same & (p["start"] == t["start"]) & (p["end"] == t["end"])
-        return same & (p["start"] < t["end"]) & (t["start"] < p["end"])
+        return (p["type"] == t["type"]) & (p["start"] < t["end"]) & (t["start"] < p["end"])
 
     places = F.transform(truth, lambda t, i: F.struct(i.cast("int").alias("i"), t["start"].alias("start"), t["end"].alias("end"), t["type"].alias("type")))
-    used = F.aggregate(
-        pred,
-        F.array().cast("array<int>"),
-        lambda acc, p: F.concat(acc, F.slice(F.transform(F.filter(places, lambda t: fits(p, t) & ~F.array_contains(acc, t["i"])), lambda t: t["i"]), F.lit(1), F.lit(1))),
-    )
-    return F.size(used)
+
+    def take(free, p):
+        first = F.get(F.filter(free, lambda t: fits(p, t)), F.lit(0))["i"]
+        return F.filter(free, lambda t: ~t["i"].eqNullSafe(first))
+
+    return F.size(truth) - F.size(F.aggregate(pred, places, take))

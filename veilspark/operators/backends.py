@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import importlib.util
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.spans import SPAN
 
@@ -25,10 +28,6 @@ def _need(library: str) -> None:
 def with_model_persons(df: DataFrame, model: str = "en_core_web_sm", text: str = "text", out: str = "persons") -> DataFrame:
     """Adds the PERSON spans of a named-entity model; pass the column to detect as person=."""
     _need("spacy")
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
     @pandas_udf(f"array<{SPAN}>")
     def persons(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -45,10 +44,6 @@ def with_model_persons(df: DataFrame, model: str = "en_core_web_sm", text: str =
 def embedding_similarity(df: DataFrame, model: str = "all-MiniLM-L6-v2", text: str = "text", sanitized: str = "sanitized_text", out: str = "similarity_score") -> DataFrame:
     """Adds the cosine of sentence embeddings; equal texts of a batch are embedded once."""
     _need("sentence_transformers")
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")
     def cosine(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
