@@ -2,14 +2,17 @@
 
 import math
 import re
+import time
 from collections import Counter
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from veilspark.llm import interpolation, mixing, quality
+from veilspark.llm import common, interpolation, mixing, quality
+from veilspark.llm.common import CLEAN_UP, settle, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -83,6 +86,30 @@ def test_lm_score_against_a_plain_model(docs, fan, request):
         assert x[:2] == y[:2] and x[2] == pytest.approx(y[2], abs=1e-3, rel=1e-3)
 
 
+def test_lm_leaves_no_levels_on_disk(spark, small_docs):
+    """What levels of the exchange hold goes when it is answered; blocks, answers and cells stay."""
+    shared = Path(shared_dir(spark).removeprefix("file://")) / "veilspark"
+    frames = lambda: {f.name.rsplit("-", 1)[0]: f for f in shared.glob("*") if f not in old}
+    old = set(shared.glob("*"))
+    interpolation.lm_score(small_docs, block_bytes=1 << 13, fan=3)
+    assert sorted(frames()) == ["blocks", "lm-cells", "lm-counts"]
+
+
+def test_settle_leaves_no_shuffle_files(spark, monkeypatch):
+    own = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f for d in own for f in Path(d).rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(CLEAN_UP)
+    write, seen = common.materialise, []
+    monkeypatch.setattr(common, "materialise", lambda *a: seen.append(spark.conf.get(CLEAN_UP)) or write(*a))
+    assert settle(spark.range(100000).repartition(4, "id"), "test").count() == 100000
+    assert seen == ["true"] and spark.conf.get(CLEAN_UP) == setting
+    for _ in range(20):  # Spark removes them behind the job's back
+        if not (left := {f for f in files() - before if f.stat().st_size > 10000}):
+            return
+        time.sleep(0.1)
+    raise AssertionError(left)
+
+
 def test_lm_is_better_than_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = [r for r in interpolation.lm_score(docs).collect() if r.held_out]

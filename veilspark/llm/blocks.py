@@ -12,6 +12,10 @@ levels: a node of a level takes the keys of one range from a group of at most ab
 folds them as a bucket would, and sends them on to the parts of its range; answers come back the
 same way.  Each level has about as many nodes as there are buckets, so rows grow with the number
 of blocks times FAN times the levels, whose number is the logarithm of the input to the base FAN.
+
+On disk, keys lie once as they are sent to a level and once as its nodes hold them, folded.  A node
+keeps the place of each sender's keys among its folded ones, a byte or less for each, and not the
+keys themselves; shuffle files go with the job that made them, levels once they are answered.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import flat_bytes, materialise, mix
+from .common import discard, flat_bytes, materialise, mix, new_path, settle
 
 BLOCK_BYTES = 6 << 20
 BLOCKS_PER_TASK = 8
@@ -108,6 +112,8 @@ FAN = 256
 
 REQUEST = "kind string, bucket long, gid long, blob binary"
 ANSWER = REQUEST
+#: What a node of a level writes: the keys that it sends on, and for each sender the places of its keys.
+LEVEL = "is_place boolean, " + REQUEST
 
 
 def rows_table(rows: list[tuple]) -> pa.RecordBatch:
@@ -163,10 +169,12 @@ class Exchange:
         answer(kind, folded) -> (arrays aligned with the keys, further rows (kind, arrays));
         cut(kind, folded, begin, end) -> the arrays of a part of the keys.
         """
-        asked = []
+        spark, levels = requests.sparkSession, []
         for level in range(1, self.levels):
-            asked.append(materialise(requests, f"{name}-level"))
-            requests = asked[-1].groupBy("kind", "bucket").applyInArrow(self._forward(level, fold, cut), REQUEST)
+            path = new_path(spark, f"{name}-level")
+            sent = settle(requests.groupBy("kind", "bucket").applyInArrow(self._forward(level, fold, cut), LEVEL), name, path)
+            levels.append((sent, path))
+            requests = sent.filter("not is_place").drop("is_place")
 
         def root(table: pa.Table) -> pa.Table:
             kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
@@ -175,20 +183,26 @@ class Exchange:
             out, more = answer(kind, folded)
             return pa.Table.from_batches([rows_table(list(_dealt(kind, bucket, gids, parts, place, out)) + [(k, bucket, -1, pack_arrays(*arrays)) for k, arrays in more])])
 
-        got = materialise(requests.groupBy("kind", "bucket").applyInArrow(root, ANSWER), name)
+        got = settle(requests.groupBy("kind", "bucket").applyInArrow(root, ANSWER), name)
         extra = got.filter("gid < 0")
-        for level in range(self.levels - 1, 0, -1):
+        while levels:
+            sent, path = levels.pop()
+            places = sent.filter("is_place").drop("is_place")
             down = got.filter("gid >= 0").toDF("kind", "part", "bucket", "blob")
-            back = asked[level - 1].groupBy("kind", "bucket").cogroup(down.groupBy("kind", "bucket"))
-            got = materialise(back.applyInArrow(lambda a, b: _back(a, b, fold), ANSWER), name)
+            got = settle(places.groupBy("kind", "bucket").cogroup(down.groupBy("kind", "bucket")).applyInArrow(_back, ANSWER), name)
+            discard(spark, path)
         return got if self.levels == 1 else got.unionByName(extra)
 
     def _forward(self, level: int, fold, cut):
         def run(table: pa.Table) -> pa.Table:
             kind, node = table["kind"][0].as_py(), table["bucket"][0].as_py()
-            _, folded = fold(kind, gathered(table)[1])
+            gids, parts = gathered(table)
+            place, folded = fold(kind, parts)
             group = node // self.fan**level
-            return rows_to_table([(kind, self.node(group, level + 1, r), node, pack_arrays(*cut(kind, folded, a, b))) for r, a, b in self.ranges(folded[0], level + 1)])
+            on = [(kind, self.node(group, level + 1, r), node, pack_arrays(*cut(kind, folded, a, b))) for r, a, b in self.ranges(folded[0], level + 1)]
+            # rising places of a sender, as differences
+            kept = list(_dealt(kind, node, gids, parts, np.arange(len(place)), [place.astype(np.uint64)]))
+            return rows_to_table(on + kept).add_column(0, "is_place", pa.array([False] * len(on) + [True] * len(kept)))
 
         return run
 
@@ -201,17 +215,16 @@ def _dealt(kind, bucket, gids, parts, place, out):
         a += len(p[0])
 
 
-def _back(asked: pa.Table, got: pa.Table, fold) -> pa.Table:
-    """A node's answers to its senders, from those that it got itself."""
-    if not asked.num_rows:
+def _back(places: pa.Table, got: pa.Table) -> pa.Table:
+    """A node's answers to its senders, from those that it got itself and the places of their keys."""
+    if not places.num_rows:
         return rows_to_table([])
-    kind, node = asked["kind"][0].as_py(), asked["bucket"][0].as_py()
-    gids, parts = gathered(asked)
-    place, _ = fold(kind, parts)
+    kind, node = places["kind"][0].as_py(), places["bucket"][0].as_py()
+    gids, parts = gathered(places)
     order, blobs = np.argsort(got["part"].to_numpy()), got["blob"].to_pylist()
     answers = [unpack_arrays(blobs[i]) for i in order]
     out = [np.concatenate(x) for x in zip(*answers, strict=True)]
-    return rows_to_table(list(_dealt(kind, node, gids, parts, place, out)))
+    return rows_to_table([(kind, node, gid, pack_arrays(*[x[p[0].astype(np.int64)] for x in out])) for gid, p in zip(gids, parts, strict=True)])
 
 
 def rows_to_table(rows: list[tuple]) -> pa.Table:

@@ -43,15 +43,40 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/veilspark/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as parquet to the shared folder and read it back: lineage ends here, and a lost
     executor costs no more than what it was just doing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veilspark/{name}-{uuid.uuid4().hex}"
+    path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Spark removes the shuffle files of an execution as it ends; a lost executor's are made again, as ever.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """materialise, leaving no shuffle files: nothing reads them once df is written down."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        return materialise(df, name, path)
+    finally:
+        conf.set(CLEAN_UP, before)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a written frame, when all that was made of it is written down too."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 #: A group that holds at least one row in so many is met by broadcast, so no task gets all its rows.
 HOT_GROUPS = 2000
 

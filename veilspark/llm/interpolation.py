@@ -9,8 +9,9 @@ occurs, estimates rounded to an eighth of a doubling - is counted in one pass ov
 are at most CONTEXTS * CELLS^2 combinations (3.3 million, 52 MB), whatever the corpus.  Scores
 then use the counts of all texts that may be learned from.
 
-Counts of words and bigrams cover the whole corpus, by the block exchange: a block asks once for
-each distinct word and bigram that it holds.
+Counts of words and bigrams cover the whole corpus, by one block exchange: a block asks once for
+each distinct word and bigram that it holds, and its answers give it the terms of its own held-out
+bigrams.
 
 Defined cases: null or empty text is the end token alone; nothing to learn from gives N = 0, and
 every token has probability 1 / (V + 1) with V = 0; a null doc_id counts as empty text in the
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, FAN, REQUEST, Exchange, answers_of, blocks_of, joined, pack_arrays, pack_documents, per_block, rows_table, unpack_arrays
-from .common import Words, mix, read, remainder
+from .blocks import BLOCK_BYTES, FAN, REQUEST, Exchange, answers_of, blocks_of, joined, pack_documents, per_block, rows_table, unpack_arrays
+from .common import Words, mix, read, remainder, settle
 
 FOLDS = 10
+BUCKET_BLOCKS = 2  # a bucket of the exchange holds the keys of about so many blocks
 TUNE = 1  # the fold of the learnable texts that EM holds out
 END, START = np.uint64(0x1234567890ABCDEF), np.uint64(0x0FEDCBA987654321)
 CONTEXTS = 32
@@ -68,9 +70,6 @@ class Tokens:
         tune = np.bincount(number[self.tune], minlength=len(names)).astype(np.uint32)
         return names, number, main, tune
 
-    def count_words(self):
-        return self.count(self.now)
-
 
 def _cell(x: np.ndarray) -> np.ndarray:
     """0 for 0, else the place of x, at most 1, on a scale of STEP to each halving."""
@@ -84,56 +83,20 @@ def context_bucket(c: np.ndarray) -> np.ndarray:
     return np.where(c > 0, np.minimum(np.floor(np.log2(np.maximum(c, 1))).astype(np.int64) + 1, CONTEXTS - 1), 0)
 
 
-def _sums(parts, names, number, *at):
-    return [np.bincount(number, weights=np.concatenate([p[i] for p in parts]), minlength=len(names)).astype(np.int64) for i in at]
-
-
 def _fold(kind: str, parts):
-    """Words: key, main, tune.  Pairs: also c(v) and c(w), of those that are held out somewhere."""
-    names, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    main, tune = _sums(parts, names, number, 1, 2)
-    folded = [names, main.astype(np.uint64), tune.astype(np.uint64)]
-    if kind == "pair":
-        c1, c2 = np.zeros(len(names), np.uint64), np.zeros(len(names), np.uint64)
-        a = 0
-        for p in parts:
-            at = number[a : a + len(p[0])][p[2] > 0]
-            c1[at], c2[at] = p[3], p[4]
-            a += len(p[0])
-        held = tune > 0
-        folded += [c1[held], c2[held]]
-    return number, folded
+    """Key, and its counts in the two parts of the learnable texts."""
+    names, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = [np.bincount(place, weights=np.concatenate([p[i] for p in parts]), minlength=len(names)).astype(np.uint64) for i in (1, 2)]
+    return place, [names, *counts]
 
 
 def _cut(kind: str, folded, a: int, b: int):
-    out = [x[a:b] for x in folded[:3]]
-    if kind == "pair":
-        held = np.concatenate(([0], np.cumsum(folded[2] > 0)))
-        out += [x[held[a] : held[b]] for x in folded[3:]]
-    return out
-
-
-def _answer(n_main: int):
-    def run(kind: str, folded):
-        main, tune = (x.astype(np.int64) for x in folded[1:3])
-        if kind == "word":
-            return [main, tune], [("total", [np.array([main.sum(), tune.sum(), ((main + tune) > 0).sum()], dtype=np.int64)])]
-        # the held-out pairs of this bucket, by cell
-        held = tune > 0
-        m, x, y = main[held], folded[3].astype(np.int64), folded[4].astype(np.int64)
-        cell = (context_bucket(x) * CELLS + _cell(m / np.maximum(x, 1))) * CELLS + _cell(y / max(n_main, 1))
-        cells, place = np.unique(cell, return_inverse=True)
-        n = np.bincount(place, weights=tune[held], minlength=len(cells)).astype(np.int64)
-        return [(main + tune).astype(np.uint64)], [("cells", [cells.astype(np.int64), n])]
-
-    return run
+    return [x[a:b] for x in folded]
 
 
-def _cells(batches):
-    for batch in batches:
-        for blob in batch.column("blob").to_pylist():
-            cell, n = unpack_arrays(blob)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+def _answer(kind: str, folded):
+    main, tune = (x.astype(np.int64) for x in folded[1:])
+    return [main, tune], [("total", [np.array([main.sum(), tune.sum(), ((main + tune) > 0).sum()], dtype=np.int64)])] if kind == "word" else []
 
 
 def learn_weights(cells: np.ndarray, n: np.ndarray, vocabulary: int, rounds: int = 60) -> np.ndarray:
@@ -161,26 +124,30 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, vocabulary: int, rounds: int
 def lm_score(docs: DataFrame, folds: int = FOLDS, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     packed = pack_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", remainder(folds).cast("int").alias("fold")), block_bytes)
-    exchange = Exchange(2 * max(1, packed.count()), fan)
+    exchange = Exchange(max(1, -(-packed.count() // BUCKET_BLOCKS)), fan)
 
-    def ask_words(batches):
+    def ask(batches):
         for gid, block in blocks_of(batches):
-            names, _, main, tune = Tokens(block).count_words()
-            yield rows_table(list(exchange.request_rows("word", gid, names, main, tune)))
+            tokens = Tokens(block)
+            for kind, keys in (("word", tokens.now), ("pair", tokens.pair)):
+                names, _, main, tune = tokens.count(keys)
+                yield rows_table(list(exchange.request_rows(kind, gid, names, main, tune)))
 
-    words = exchange.answers(packed.mapInArrow(ask_words, REQUEST), _fold, _answer(0), _cut, "lm-words")
+    got = exchange.answers(packed.mapInArrow(ask, REQUEST), _fold, _answer, _cut, "lm-counts")
+    answers = got.filter("gid >= 0")
 
     def totals(batches):
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in unpack_arrays(blob)[0]], names=["main", "tune", "kinds"])
 
-    t = words.filter("kind = 'total'").select("blob").mapInArrow(totals, "main long, tune long, kinds long").agg(F.sum("main"), F.sum("tune"), F.sum("kinds")).first()
+    t = got.filter("kind = 'total'").select("blob").mapInArrow(totals, "main long, tune long, kinds long").agg(F.sum("main"), F.sum("tune"), F.sum("kinds")).first()
     n_main, n_all, vocabulary = t[0] or 0, (t[0] or 0) + (t[1] or 0), t[2] or 0
 
-    def word_counts(tokens: Tokens, table: pa.Table):
-        parts = answers_of(table, "word")
-        _, number, *_ = tokens.count_words()
+    def counts(table: pa.Table, kind: str, keys: np.ndarray):
+        """The counts of each token's key in the two parts."""
+        parts = answers_of(table, kind)
+        number = np.unique(keys, return_inverse=True)[1]
         return joined(parts, 0, np.int64)[number], joined(parts, 1, np.int64)[number]
 
     def context(tokens: Tokens, count: np.ndarray):
@@ -190,34 +157,26 @@ def lm_score(docs: DataFrame, folds: int = FOLDS, block_bytes: int = BLOCK_BYTES
         out[tokens.first[:-1]] = count[tokens.first[1:] - 1]
         return out
 
-    def ask_pairs(gid, block, table):
+    def held_out(gid, block, table):
+        """The held-out tokens of a block, by cell."""
         tokens = Tokens(block)
-        main_now, _ = word_counts(tokens, table)
-        before = context(tokens, main_now)
-        names, number, main, tune = tokens.count(tokens.pair)
-        some = np.zeros(len(names), np.int64)
-        some[number] = np.arange(len(number))
-        rows = []
-        full1, full2 = before[some], main_now[some]
-        for node, a, b in exchange.first(gid, names):
-            h = tune[a:b] > 0
-            rows.append(("pair", node, gid, pack_arrays(names[a:b], main[a:b], tune[a:b], full1[a:b][h].astype(np.uint64), full2[a:b][h].astype(np.uint64))))
-        yield rows_table(rows)
-
-    word_answers = words.filter("kind = 'word'")
-    pairs = exchange.answers(per_block(packed, word_answers, ask_pairs, REQUEST), _fold, _answer(n_main), _cut, "lm-pairs")
-    cells = pairs.filter("kind = 'cells'").select("blob").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        now, _ = counts(table, "word", tokens.now)
+        pair, _ = counts(table, "pair", tokens.pair)
+        x, y, m = (c[tokens.tune] for c in (context(tokens, now), now, pair))
+        cell = (context_bucket(x) * CELLS + _cell(m / np.maximum(x, 1))) * CELLS + _cell(y / max(n_main, 1))
+        cells, n = np.unique(cell, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(n, pa.int64())], names=["cell", "n"])
+
+    cells = settle(per_block(packed, answers, held_out, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "lm-cells")
     # at most CONTEXTS * CELLS^2 rows
-    got = cells.orderBy("cell").toArrow()
-    weights = learn_weights(got["cell"].to_numpy(), got["n"].to_numpy(), vocabulary)
+    held = cells.orderBy("cell").toArrow()
+    weights = learn_weights(held["cell"].to_numpy(), held["n"].to_numpy(), vocabulary)
 
     def result(gid, block, table):
         tokens = Tokens(block)
-        main, tune = word_counts(tokens, table)
-        count = main + tune
+        count = sum(counts(table, "word", tokens.now))
         before = context(tokens, count)
-        _, number, *_ = tokens.count(tokens.pair)
-        pair = joined(answers_of(table, "pair"), 0, np.uint64)[number].astype(np.float64)
+        pair = sum(counts(table, "pair", tokens.pair)).astype(np.float64)
         w = weights[context_bucket(before)]
         p = w[:, 0] * np.minimum(pair / np.maximum(before, 1), 1) + w[:, 1] * count / max(n_all, 1) + w[:, 2] / (vocabulary + 1)
         if not n_all:
@@ -233,7 +192,6 @@ def lm_score(docs: DataFrame, folds: int = FOLDS, block_bytes: int = BLOCK_BYTES
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    answers = word_answers.unionByName(pairs.filter("kind = 'pair'"))
     return per_block(packed, answers, result, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
