@@ -166,6 +166,52 @@ def test_words_that_share_a_name(monkeypatch):
     assert blocks.Exchange(300, 256).levels == 2 and blocks.Exchange(256, 256).levels == 1
 
 
+def test_words_cost():
+    """To verify the words that meet in a bucket costs less than five times what it takes to sort their names."""
+    import time
+
+    import numpy as np
+
+    def least(f):
+        spent = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            spent.append(time.process_time() - began)
+        return min(spent)
+
+    rng = np.random.default_rng(1)
+    names = np.unique(rng.integers(0, 2**63, 50_000, dtype=np.uint64))
+    part = [names, np.full(len(names), 5), rng.integers(97, 123, 5 * len(names)).astype(np.uint8)]
+    assert least(lambda: substring_dedup._fold("word", [part] * 8)) < 5 * least(lambda: np.argsort(np.concatenate([names] * 8)))
+
+
+def test_segments_in_parts(small_docs, monkeypatch):
+    """However many words are named at a time, segments are the same."""
+    block = small_docs.select("doc_id", "text").toArrow()
+    block = block.set_column(1, "text", substring_dedup.pa.compute.fill_null(block["text"], ""))
+    whole = substring_dedup.Segments(block)
+    monkeypatch.setattr(substring_dedup, "PART", 100)
+    parts = substring_dedup.Segments(block)
+    assert len(whole.start) and all((getattr(whole, x) == getattr(parts, x)).all() for x in ("mark", "start", "size", "row", "key", "key2"))
+
+
+def test_names_and_words_alike():
+    """Names that only their last bits tell apart are still told apart; words are compared to their last byte."""
+    import numpy as np
+
+    from veilspark.llm.common import Words, alike, one_of_each
+
+    for names in (np.arange(9, dtype=np.uint64)[::-1] // np.uint64(2), np.zeros(0, np.uint64), np.array([2**64 - 1, 5, 2**64 - 2, 5], np.uint64)):
+        at, number = one_of_each(names)
+        want, place = np.unique(names, return_inverse=True)
+        assert (names[at] == want).all() and (number == place).all()
+    for n in (1, 7, 8, 9, 16, 17, 63, 64, 65, 1000):
+        for last, same in (("x", True), ("y", False)):
+            w = Words(substring_dedup.pa.array([f"{'a' * n}x b {'a' * n}{last} z"]))
+            assert alike(w.raw, w.starts, w.ends - w.starts, np.array([0, 1, 0, 3])) is same
+
+
 @pytest.mark.parametrize("docs", ["odd_docs", "no_docs", "small_docs"])
 @pytest.mark.parametrize("n", [4, 5])
 def test_near(docs, n, request):

@@ -35,14 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, FAN, REQUEST, Exchange, answers_of, blocks_of, joined, pack_arrays, pack_documents, per_block, rows_table, unpack_arrays
-from .common import Words, mix, read
+from .common import Words, _spread, alike, mix, one_of_each, read, slices
 
 WINDOW = 50
 ROUNDS = 11
 NULL_ID = 2**63 - 1
 SEEDS = 8
+#: Words whose names are made at a time.
+PART = 1 << 18
 _C1, _C2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_FAR = 1 << 30
+_FAR = (1 << 30) - 1  # twice that is still an int32
 _BITS = mix(np.arange(1, ROUNDS + 2, dtype=np.uint64) * np.uint64(15485863))
 
 
@@ -66,53 +68,91 @@ class Prefix:
             return mix((self.sum[end] - self.sum[begin]) * self.back[begin] + (end - begin).astype(np.uint64) * np.uint64(_C2))
 
 
-def rounds(h: np.ndarray, row: np.ndarray, window: int, n_rounds: int = ROUNDS):
-    """(name, first and last deciding place) of each round, for names that some window can hold."""
+def rounds(h: np.ndarray, first: np.ndarray, window: int, n_rounds: int = ROUNDS):
+    """(name, first and last deciding place) of each round, for names that some window can hold.
+
+    Names lie one after the other, so a name ends where the next begins; first marks the first of each document.
+    """
     n = len(h)
-    name, begin, end = h, np.arange(n, dtype=np.int64), np.arange(1, n + 1, dtype=np.int64)
-    low, high, doc = begin, end, row
+    name, begin, low = h, np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32)
+    high = low + np.int32(1)
     out = []
 
     def keep():
         good = np.flatnonzero(high - low <= window)
-        out.append((name[good], low[good].astype(np.int32), high[good].astype(np.int32)))
+        out.append((name[good], low[good], high[good]))
 
     keep()
     with np.errstate(over="ignore"):
         # runs of one word; each name now also rests on the words beside it
         new = np.ones(n, dtype=bool)
-        new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
+        new[1:] = (name[1:] != name[:-1]) | first[1:]
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, n))
-        name = np.where(size > 1, mix(name[at] * np.uint64(_C1) + size.astype(np.uint64)), name[at])
-        begin, end, doc = begin[at], end[at + size - 1], doc[at]
-        low, high = begin - 1, end + 1
-        first = np.ones(len(at), dtype=bool)
-        first[1:] = doc[1:] != doc[:-1]
+        name, begin, first = name[at], begin[at], first[at]
+        run = np.flatnonzero(size > 1)
+        name[run] = mix(name[run] * np.uint64(_C1) + size[run].astype(np.uint64))
+        low = np.where(first, np.int32(-_FAR), begin - np.int32(1))
         last = np.append(first[1:], True)
-        low, high = np.where(first, -_FAR, low), np.where(last, _FAR, high)
+        high = np.where(last, np.int32(_FAR), np.append(begin[1:], np.int32(n)) + np.int32(1))
         keep()
         for k in range(n_rounds):
-            if len(name) < 2:
+            m = len(name)
+            if m < 2:
                 break
             right = (mix(name ^ _BITS[k]) >> np.uint64(63)).astype(bool)
-            pair = ~right[:-1] & right[1:] & (doc[1:] == doc[:-1]) & (end[1:] - begin[:-1] <= window)
-            head = np.append(pair, False)
-            tail = np.concatenate(([False], pair))
-            stay = ~tail
-            low_of = np.where(first, -_FAR, np.concatenate(([-_FAR], low[:-1])))
-            high_of = np.where(last, _FAR, np.append(high[1:], _FAR))
-            next_name, next_high, next_end, next_last = (np.append(x[1:], x[-1:]) for x in (name, high, end, last))
-            new_name = np.where(head, mix(name * np.uint64(_C1) + next_name * np.uint64(_C2) + np.uint64(1)), name)
-            new_low = np.where(head | ~right, low, low_of)
-            new_high = np.where(head, next_high, np.where(right, high, high_of))
-            new_end = np.where(head, next_end, end)
-            new_last = np.where(head, next_last, last)
-            name, begin, end, low, high, doc, first, last = (x[stay] for x in (new_name, begin, new_end, new_low, new_high, doc, first, new_last))
+            edge = np.append(begin, np.int32(n))
+            pair = ~right[:-1] & right[1:]
+            pair &= ~first[1:]
+            pair &= edge[2:] - edge[:-2] <= window
+            head = np.flatnonzero(pair)
+            stay = np.ones(m, dtype=bool)
+            stay[head + 1] = False
+            at = np.flatnonzero(stay)
+            # a right name rests on the one before it, a left one on the one after it, if its document has one
+            side = right[at]
+            low = low[np.where(side, at - 1, at)]
+            low[side & first[at]] = -_FAR
+            after = np.where(side, at, at + 1)
+            high = np.append(high, np.int32(_FAR))[after]
+            high[~side & np.append(first, True)[after]] = _FAR
+            made = mix(name[head] * np.uint64(_C1) + name[head + 1] * np.uint64(_C2) + np.uint64(1))
+            name, begin, first = name[at], begin[at], first[at]
+            name[head - np.arange(len(head))] = made
             keep()
     return out
 
 
+def _marked(h: np.ndarray, off: np.ndarray, window: int):
+    """Mark, first window and number of windows of each segment of the words h, whose rows begin at off[:-1]."""
+    n, counts = len(h), np.diff(off)
+    here = np.maximum(counts - (window - 1), 0)
+    at = _spread(off[:-1], here)
+    if not len(at):
+        return np.zeros(0, np.uint64), at, at
+    first = np.zeros(n, dtype=bool)
+    first[off[:-1][counts > 0]] = True
+    made = rounds(h, first, window)
+    # each window's first certain name of the highest round, by its place among the names of all rounds
+    base = np.concatenate(([0], np.cumsum([len(x[0]) for x in made])))
+    which, todo, slot = np.empty(len(at), np.int32), at, np.arange(len(at))
+    for k in range(len(made) - 1, -1, -1):
+        _, low, high = made[k]
+        if not len(low) or not len(todo):
+            continue
+        i = np.repeat(np.arange(len(low) + 1, dtype=np.int32), np.diff(low, prepend=-1, append=n - 1))[todo]
+        ok = np.append(high, np.int32(_FAR))[i] <= todo + window
+        which[slot[ok]] = i[ok] + np.int32(base[k])
+        todo, slot = todo[~ok], slot[~ok]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)
+    edge = np.flatnonzero(new)
+    code = which[edge]
+    level = np.searchsorted(base, code, side="right")
+    mark = mix(np.concatenate([x[0] for x in made])[code] ^ level.astype(np.uint64))
+    return mark, at[edge], np.diff(np.append(edge, len(at)))
+
+
 class Segments:
     """The segments of a block: mark, first window, number of windows, row; and fingerprints."""
 
@@ -122,39 +162,14 @@ class Segments:
         ids = table["doc_id"].to_pylist()
         self.ids = np.array([NULL_ID if i is None else i for i in ids], dtype=np.int64)
         h, first = self.words.hash, self.words.first
-        n = len(h)
-        counts = np.diff(first)
-        row = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-        valid = np.zeros(n, dtype=bool)
-        stop = first[row + 1] if n else np.zeros(0, np.int64)
-        valid[np.arange(n) + window <= stop] = True
-        at = np.flatnonzero(valid)
-        level, which, mark = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n, np.uint64)
-        todo = at
-        made = rounds(h, row, window) if len(at) else []
-        for k in range(len(made) - 1, -1, -1):
-            if not len(todo):
-                break
-            name, low, high = made[k]
-            if not len(name):
-                continue
-            i = np.searchsorted(low, todo, side="left")
-            ok = i < len(low)
-            ok[ok] = high[i[ok]] <= todo[ok] + window
-            p, i = todo[ok], i[ok]
-            level[p], which[p] = k, i
-            mark[p] = mix(name[i] ^ np.uint64(k + 1))
-            todo = todo[~ok]
-        del made
+        # rows do not bear on each other here, so a few at a time, which a processor's cache can hold
+        parts = []
+        for a, b in slices(first, PART):
+            mark, start, size = _marked(h[first[a] : first[b]], first[a : b + 1] - first[a], window)
+            parts.append((mark, start + first[a], size))
+        self.mark, self.start, self.size = (np.concatenate([z, *(p[i] for p in parts)]) for i, z in enumerate((np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))))
+        self.row = np.searchsorted(first, self.start, side="right") - 1
         self.one, self.two = Prefix(h, _C1), Prefix(h, _C2)
-        new = np.ones(len(at), dtype=bool)
-        if len(at):
-            new[1:] = (at[1:] != at[:-1] + 1) | (level[at[1:]] != level[at[:-1]]) | (which[at[1:]] != which[at[:-1]]) | (row[at[1:]] != row[at[:-1]])
-        edge = np.flatnonzero(new)
-        self.start = at[edge]
-        self.size = np.diff(np.append(edge, len(at)))
-        self.row = row[self.start] if n else np.zeros(0, np.int64)
-        self.mark = mark[self.start] if n else np.zeros(0, np.uint64)
         end = self.start + self.size + window - 1
         self.key, self.key2 = self.one.of(self.start, end), self.two.of(self.start, end)
         self.doc = self.ids[self.row]
@@ -204,6 +219,10 @@ def _fold(kind: str, parts):
         np.maximum.at(hi, place, code)
         return place, [names, np.where(lo == hi, lo, np.uint64(0))]
     if kind == "word":
+        name, size, raw = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2))
+        start, (at, place) = np.cumsum(size) - size, one_of_each(name)
+        if alike(raw, start, size, at[place]):
+            return place, [name[at], size[at], raw[_spread(start[at], size[at])]]
         seen = sorted({x for p in parts for x in zip(p[0].tolist(), _words_at(p[1], p[2]), strict=True)})
         names = np.array([h for h, _ in seen], dtype=np.uint64)
         place = np.searchsorted(names, np.concatenate([p[0] for p in parts]))
