@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import batch_udfs as U
 from ..functions import generate as G
 from ..functions import patterns as P
 from ..functions import spans as S
@@ -28,15 +29,23 @@ def _spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
+def _keys_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey")
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> str:
-    _spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey").createOrReplaceTempView("veilspark_orders")
+    _keys_of(spark, sf_dir).createOrReplaceTempView("veilspark_orders")
     return "veilspark_orders"
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The notes, dealt out by id: span work gets even partitions, and the optimizer cannot copy the
-    generator's expressions into every reference to a text."""
-    return _spread(spark.sql(G.notes_sql(SPARK, _orders(spark, sf_dir))), "id")
+def notes(spark: SparkSession, sf_dir: str, distinct: bool = False) -> DataFrame:
+    """id, scenario, text of the notes.  Keys alone are dealt out; each note is written where its key went.
+
+    distinct: one note for each id, should a key stand on several orders.
+    """
+    keys = _keys_of(spark, sf_dir).filter("o_orderkey is not null").select(F.col("o_orderkey").cast("bigint").alias("k"))
+    drawn = (keys.distinct() if distinct else keys).withColumn("draw", F.expr(SPARK.u("scenario")) % 105)
+    return drawn.select(F.col("k").alias("id"), F.expr(G.scenario_sql("draw")).alias("scenario"), U.note_text(F.col("k")).alias("text"))
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +224,7 @@ def _typed(kind: str):
     oracle = _with(NOTES, spans_cte("raw", parts)) + f"SELECT id, {_SPAN_COLS} FROM raw"
 
     def run(spark, sf_dir):
-        df = notes(spark, sf_dir).withColumn("entities", S.in_order(*S.pattern_spans(F.col("text"), parts)))
+        df = notes(spark, sf_dir).withColumn("entities", U.kind_spans(F.col("text"), kind))
         return D.explode_spans(df, "id").drop("rank")
 
     return oracle, run
@@ -227,7 +236,7 @@ for _name, _kind in {"detect_date": "DATE", "detect_medicaid": "MEDICAID_ID", "d
 
 for _rules in ("fixed", "legacy"):
     register(f"detect_person_{_rules}", _with(NOTES, spans_cte("raw", [("PERSON", P.NAME)], {0: _rules})) + f"SELECT id, {_SPAN_COLS} FROM raw")(
-        lambda spark, sf_dir, rules=_rules: D.explode_spans(notes(spark, sf_dir).withColumn("entities", S.name_spans(F.col("text"), rules)), "id").drop("rank")
+        lambda spark, sf_dir, rules=_rules: D.explode_spans(notes(spark, sf_dir).withColumn("entities", U.name_spans(F.col("text"), rules)), "id").drop("rank")
     )
     register(f"truth_{_rules}", _with(NOTES, truth_cte(_rules)) + f"SELECT id, rank, {_SPAN_COLS} FROM truth")(
         lambda spark, sf_dir, rules=_rules: D.explode_spans(D.annotate(notes(spark, sf_dir), rules), "id")
@@ -240,7 +249,7 @@ _GAZ = r"\b(?:" + "|".join(sorted(set(G.FIRST) | set(G.LAST), key=lambda n: (-le
 @register("detect_person_gazetteer", _with(NOTES, spans_cte("raw", [("PERSON", _GAZ)])) + f"SELECT id, {_SPAN_COLS} FROM raw")
 def detect_person_gazetteer(spark, sf_dir):
     df = notes(spark, sf_dir)
-    return D.explode_spans(df.withColumn("entities", S.gazetteer_spans(F.col("text"), [*G.FIRST, *G.LAST])), "id").drop("rank")
+    return D.explode_spans(df.withColumn("entities", U.listed_spans(F.col("text"), [*G.FIRST, *G.LAST])), "id").drop("rank")
 
 
 _FLAT = r"regexp_replace(text, '[\x{C0}-\x{24F}\x{370}-\x{1FFF}\x{3040}-\x{9FFF}]', '_', 'g')"
@@ -270,7 +279,7 @@ def detect_resolved(spark, sf_dir):
 
 for _m in S.METHODS:
     register(f"sanitize_{_m}", _with(NOTES, RAW, RESOLVED, sanitized_cte(_m, "san")) + "SELECT id, sanitized_text FROM san")(
-        lambda spark, sf_dir, m=_m: D.sanitize(D.detect(notes(spark, sf_dir)), m).select("id", "sanitized_text")
+        lambda spark, sf_dir, m=_m: D.sanitize_detected(notes(spark, sf_dir), m).select("id", "sanitized_text")
     )
 
 _ALL = ",\n".join(sanitized_cte(m, f"san_{m}") for m in S.METHODS) + ",\nsan AS (" + " UNION ALL ".join(f"SELECT {_lit(m)} AS method, * FROM san_{m}" for m in S.METHODS) + ")"
@@ -278,18 +287,14 @@ _RATE = """rates AS (SELECT s.method, s.id, CASE WHEN count(p.id) = 0 THEN 1.0 E
   FROM san s LEFT JOIN pred p ON s.id = p.id GROUP BY s.method, s.id)"""
 
 
-def _sanitized(spark, sf_dir):
-    return D.sanitize_all(D.detect(notes(spark, sf_dir)))
-
-
 @register("removal_by_doc", _with(NOTES, RAW, RESOLVED, _ALL, _RATE) + "SELECT method, id, round(rate, 4) AS removal_rate, n AS num_entities FROM rates")
 def removal_by_doc(spark, sf_dir):
-    return _sanitized(spark, sf_dir).select("method", "id", F.round("removal_rate", 4).alias("removal_rate"), F.col("num_entities").cast("long").alias("num_entities"))
+    return D.rate_detected(notes(spark, sf_dir)).select("method", "id", F.round("removal_rate", 4).alias("removal_rate"), F.col("num_entities").cast("long").alias("num_entities"))
 
 
 @register("removal_summary", _with(NOTES, RAW, RESOLVED, _ALL, _RATE) + "SELECT method, round(avg(rate), 4) AS avg_removal_rate, count(*) AS total_documents FROM rates GROUP BY method")
 def removal_summary(spark, sf_dir):
-    return D.removal_summary(_sanitized(spark, sf_dir))
+    return D.removal_summary(D.rate_detected(notes(spark, sf_dir)))
 
 
 @register(
@@ -297,8 +302,9 @@ def removal_summary(spark, sf_dir):
     _with(NOTES, RAW, RESOLVED) + "SELECT substr(sha256(span_text), 1, 8) AS token, count(DISTINCT id) AS docs FROM pred GROUP BY 1",
 )
 def hash_linkage(spark, sf_dir):
-    spans = D.explode_spans(D.detect(notes(spark, sf_dir)), "id")
-    return spans.withColumn("token", S.token(F.col("span_text"), F.col("type"), "hash")).groupBy("token").agg(F.countDistinct("id").alias("docs"))
+    """A document counts once for each of its tokens: they are told apart within it, and no id is shuffled."""
+    tokens = notes(spark, sf_dir, distinct=True).select(U.hash_tokens(F.col("text")).alias("t")).select(F.explode_outer("t").alias("n")).filter("n is not null")
+    return tokens.groupBy("n").agg(F.count(F.lit(1)).alias("docs")).select(F.lower(F.lpad(F.hex("n"), 8, "0")).alias("token"), "docs")
 
 
 _WORDS = "SELECT method, id, unnest(regexp_extract_all(lower({c}), '[a-z0-9]+')) AS w, {x} AS x, {y} AS y FROM san"
@@ -313,7 +319,7 @@ _SIMILAR = (
 
 @register("similarity_tf", _with(NOTES, RAW, RESOLVED, _ALL, *_SIMILAR) + "SELECT method, id, similarity FROM sim")
 def similarity_tf(spark, sf_dir):
-    return D.term_similarity(_sanitized(spark, sf_dir))
+    return D.rate_detected(notes(spark, sf_dir, distinct=True), similarity=True).filter("similarity is not null").select("method", "id", "similarity")
 
 
 @register(
@@ -324,8 +330,7 @@ def similarity_tf(spark, sf_dir):
 )
 def method_summary(spark, sf_dir):
     """Both averages of each method; the similarity is that of word counts."""
-    out = _sanitized(spark, sf_dir)
-    return D.method_summary(out, D.term_similarity(out))
+    return D.method_means(D.rate_detected(notes(spark, sf_dir, distinct=True), similarity=True))
 
 
 # ------------------------------------------------------------------ evaluation
@@ -349,8 +354,7 @@ def _metric(mode: str) -> str:
 
 
 def _counts(spark, sf_dir, mode: str, rules: str = "fixed"):
-    both = D.annotate(D.detect(notes(spark, sf_dir)).withColumnRenamed("entities", "pred"), rules, out="truth")
-    return D.count_matches(both, mode)
+    return D.evaluate_detected(notes(spark, sf_dir), rules, mode)
 
 
 for _mode, _sql in (("strict", _STRICT), ("relaxed", _RELAXED)):
@@ -404,12 +408,12 @@ _SUMMARY = "SELECT (SELECT count(*) FROM notes) AS documents, (SELECT count(*) F
 
 @register("detection_summary", _with(NOTES, RAW, RESOLVED) + _SUMMARY.format("pred"))
 def detection_summary(spark, sf_dir):
-    return D.summarise(D.detect(notes(spark, sf_dir)))
+    return D.summarise_texts(notes(spark, sf_dir))
 
 
 @register("annotation_summary", _with(NOTES, truth_cte("fixed")) + _SUMMARY.format("truth"))
 def annotation_summary(spark, sf_dir):
-    return D.summarise(D.annotate(notes(spark, sf_dir), "fixed"))
+    return D.summarise_texts(notes(spark, sf_dir), "fixed")
 
 
 @register(
@@ -423,7 +427,7 @@ def eval_vs_baseline(spark, sf_dir):
 
 @register("entity_distribution", _with(NOTES, RAW, RESOLVED) + "SELECT type, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM pred), 2) AS pct FROM pred GROUP BY type")
 def entity_distribution(spark, sf_dir):
-    return D.entity_distribution(D.explode_spans(D.detect(notes(spark, sf_dir)), "id"))
+    return D.detected_distribution(notes(spark, sf_dir))
 
 
 @register(
@@ -432,8 +436,8 @@ def entity_distribution(spark, sf_dir):
     + "SELECT coalesce(a.type, b.type) AS type, coalesce(tn, 0) AS truth_n, coalesce(pn, 0) AS pred_n, coalesce(pn, 0) - coalesce(tn, 0) AS difference FROM (SELECT type, count(*) AS tn FROM truth GROUP BY type) a FULL JOIN (SELECT type, count(*) AS pn FROM pred GROUP BY type) b ON a.type = b.type",
 )
 def entity_count_compare(spark, sf_dir):
-    both = notes(spark, sf_dir)
-    return D.compare_counts(D.explode_spans(D.annotate(both, "fixed"), "id"), D.explode_spans(D.detect(both), "id"))
+    totals = D.kind_totals(notes(spark, sf_dir), "fixed")
+    return totals.withColumn("difference", F.col("pred_n") - F.col("truth_n"))
 
 
 @register(

@@ -71,7 +71,8 @@ def with_seq(df: DataFrame, entities: str = "entities") -> DataFrame:
 
 def attach(notes: DataFrame, detections: DataFrame) -> DataFrame:
     """Notes with their stored spans; a note without any gets an empty list."""
-    return with_seq(notes.join(detections.select("id", "entities"), "id", "left"))
+    # lists of spans are far larger than the optimizer takes them for: never broadcast them
+    return with_seq(notes.join(detections.select("id", "entities").hint("merge"), "id", "left"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
