@@ -114,26 +114,23 @@ def span_names(spans: Column) -> Column:
     """Names of the spans of an array, unlike for unlike (start, end, type); equal ones are numbered.  Null stays."""
 
     def run(lists: pa.Array) -> pa.Array:
-        out = []
-        for spans in _triples(lists):
-            if spans is not None:
-                seen: dict = {}
-                for i, x in enumerate(spans):
-                    again = seen[x] = seen.get(x, -1) + 1
-                    spans[i] = f"{x[0]},{x[1]},{again},{x[2]}"
-            out.append(spans)
-        return pa.array(out, pa.list_(pa.string()))
+        flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        start, end, kind = (flat.field(name) for name in ("start", "end", "type"))
+        codes = kind.dictionary_encode().indices.fill_null(-1)
+        columns = [x.to_numpy(zero_copy_only=False) for x in (codes, end.fill_null(-1), start.fill_null(-1))] + [np.repeat(np.arange(len(sizes)), sizes)]
+        order = np.lexsort(columns)
+        alike = np.zeros(len(order), bool)
+        alike[1:] = np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in columns])
+        places = np.arange(len(order))
+        again = np.empty(len(order), np.int64)
+        again[order] = places - np.maximum.accumulate(np.where(alike, 0, places))
+        names = pc.binary_join_element_wise(*(pc.fill_null(x.cast(pa.string()), "") for x in (start, end, pa.array(again), kind)), ",")
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, names, mask=lists.is_null() if lists.null_count else None)
 
     return arrow_udf(run, "array<string>")(spans)
 
 
-def _triples(lists: pa.Array) -> list[list[tuple] | None]:
-    flat = lists.flatten()
-    rows = list(zip(*[flat.field(name).to_pylist() for name in ("start", "end", "type")], strict=True))
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)).tolist()
-    return [rows[a:b] if real else None for a, b, real in zip([0, *ends], ends, lists.is_valid().to_pylist())]
-
-
 def sanitized(text: Column, method: str) -> Column:
     """The text with its detected spans rewritten; of a null text nothing."""
 
