@@ -104,7 +104,7 @@ def removal_summary(df: DataFrame) -> DataFrame:
 def evaluate_documents(pred: DataFrame, truth: DataFrame, mode: str, key: str = "id") -> DataFrame:
     """key, tp, fp, fn.  Documents come from the predictions; one without truth has none to find."""
     if mode == "strict":
-        # of spans that must be equal their names will do, a twentieth of the lists' size; equal ones of a list are numbered
+        # of spans that must be equal their names will do, which are shorter than the spans; equal ones of a list are numbered
         side = lambda df, name: df.select(key, U.span_names(F.col("entities")).alias(name))
         both = side(pred, "p").join(side(truth, "t").hint("merge"), key, "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
         both = both.select(key, F.size(F.array_intersect("p", "t")).cast("long").alias("tp"), F.size("p").alias("np"), F.size("t").alias("nt"))
